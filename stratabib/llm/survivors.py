@@ -33,7 +33,6 @@ PLACEHOLDERS = {
 #: A short text standing in this share of all groups is a placeholder too: a title or abstract belongs to one group or a few.
 SHARED, SHORT = 0.002, 40
 COUNT = re.compile(r"\+?(?:\d{1,3}(?:[,，]\d{3})+|\d+)(?:\.\d+)?")
-_FOLLOWS = re.compile(r"\s*[（(：:;；,，]")
 
 WHOLE, CUT, UNUSABLE = 2, 1, 0
 FIELDS = {"abstract_en": "prose", "cited_count": "count", "title_cn": "title"}
@@ -93,7 +92,7 @@ def _cells(rows: DataFrame, groups: DataFrame, feed: DataFrame, fields: dict[str
     readable = readable.withColumn("_stem", F.regexp_replace("_value", r"[\s.…]+$", "")).withColumn("_head", F.substring("_stem", 1, 6))
     after = F.lead("_stem").over(W.partitionBy("_g", "field_name", "_head").orderBy("_stem", "_value"))
     rest = F.substring(after, F.length("_stem") + 1, 2**30)
-    begun = readable.withColumn("_next", after).withColumn("_rest", rest).filter(F.col("_next").startswith(F.col("_stem")) & (F.length("_rest") > 0) & ~F.col("_rest").rlike(r"^\s*[（(：:;；,，]") & ~F.col("field_name").isin([f for f in fields if fields[f] == "count"]))
+    begun = readable.withColumn("_next", after).withColumn("_rest", rest).filter(F.col("_next").startswith(F.col("_stem")) & (F.length("_rest") > 0) & ~F.col("field_name").isin([f for f in fields if fields[f] == "count"]))
     judged = judged.join(begun.select("_g", "field_name", "_value", F.lit(True).alias("_begun")), ["_g", "field_name", "_value"], "left")
     judged = judged.withColumn("_grade", F.when(F.col("_begun") & (F.col("_grade") == WHOLE), CUT).otherwise(F.col("_grade")))
     return judged.groupBy("_g", "field_name", "_grade", "_trust").agg(F.max(F.struct("_best", "_value")).alias("_top"))
