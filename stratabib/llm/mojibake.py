@@ -49,6 +49,8 @@ class Finding:
     garbled: bool
     restored: str | None
     gain: float
+    #: The cheapest text reached, even if characters are lost in it.
+    best: str | None = None
 
 
 class Searcher:
@@ -262,7 +264,7 @@ class Searcher:
         short = gain >= 1.5 and gain >= 0.8 * first and best[1].isascii() is False and first <= 12 and len(text) - len(best[1]) >= 1
         garbled = lost or found or short
         whole = best[1] if (found or short) and not LOST.search(best[1]) else None
-        return Finding(garbled, whole if garbled else None, gain)
+        return Finding(garbled, whole if garbled else None, gain, best[1])
 
 
 _OUT = pa.schema([("_id", pa.int64()), ("field_name", pa.string()), ("garbled", pa.string()), ("restored", pa.string())])

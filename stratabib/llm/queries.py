@@ -6,15 +6,26 @@ from pyspark.sql import functions as F
 
 from stratabib.llm.components import group_rows
 from stratabib.llm.leakage import find_leaks
+from stratabib.llm.linkage import link_records
 from stratabib.llm.mixing import mix_sources
 from stratabib.llm.mojibake import find_garbled
 from stratabib.llm.survivors import survivors
 from stratabib.llm.truncation import find_truncated
+from stratabib.llm.variants import link_organisations
 from stratabib.runtime import stage, table
 
 MERGED, KEYED, RULES = "merge_three_db", "merge_three_db_dual_key_dedup_year_range", "institution_wikidata_lookup_rules__20260424_132702"
 
 
+def p1_found(spark, sf_dir):
+    return link_records(table(spark, sf_dir, MERGED)).select("rec_id_a", "rec_id_b")
+
+
+def p1_confidence(spark, sf_dir):
+    """Every match with its confidence."""
+    return link_records(table(spark, sf_dir, MERGED))
+
+
 def p4_found(spark, sf_dir):
     return group_rows(table(spark, sf_dir, KEYED)).select("row_id", "group_id")
 
@@ -36,6 +47,10 @@ def p5_record(spark, sf_dir):
     return picked.groupBy("group_id").agg(*(of(f, "value").alias(f) for f in names), *(of(f, "layer").alias(f"{f}_layer") for f in names))
 
 
+def p6_found(spark, sf_dir):
+    return link_organisations(table(spark, sf_dir, MERGED), table(spark, sf_dir, RULES))
+
+
 def p7_found(spark, sf_dir):
     return find_garbled(table(spark, sf_dir, MERGED)).select("rec_id", "field_name")
 
