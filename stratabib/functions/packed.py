@@ -90,6 +90,8 @@ def _person(text: str) -> float:
         return 6.0
     if len(parts) == 1:
         return 0.2 if len(parts[0]) > 1 or not parts[0] or not parts[0][0].isascii() else 2.0
+    if not text.isascii() and re.search("[\u4e00-\u9fff]", text):  # no comma inside a Chinese name
+        return 3.0 * len(parts)
     if len(parts) == 2 and len(parts[0]) == 1 and 1 <= len(parts[1]) <= 3:
         return 0.3
     if len(parts) == 2 and len(parts[0]) <= 2 and len(parts[1]) == 1 and len(parts[1][0].rstrip(".")) <= 2:
