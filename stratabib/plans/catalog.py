@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from stratabib.plans import preparation
+from stratabib.plans import corpus_plans, preparation
 
 FLAGSHIP = "p3_found"
-_MODULES = [preparation]
+_MODULES = [preparation, corpus_plans]
 
 
 def queries():
