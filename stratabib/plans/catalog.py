@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from stratabib.plans import corpus_plans, institution_plans, preparation, resolve_plans, text_plans
+from stratabib.plans import corpus_plans, institution_plans, mart_plans, preparation, resolve_plans, text_plans
 
 FLAGSHIP = "topsis_scores"
-_MODULES = [preparation, corpus_plans, resolve_plans, institution_plans, text_plans]
+_MODULES = [preparation, corpus_plans, resolve_plans, institution_plans, text_plans, mart_plans]
 
 
 def queries():
