@@ -40,7 +40,7 @@ _BIG5 = re.compile(rb"(?:[\xa1-\xf9][\x40-\x7e\xa1-\xfe])+")
 _SINGLE = re.compile("[\u0000-ɏˆ-˜Α-ωЀ-џ‐-⁄€№™←-⋿⌐-■]+")
 _WIDE = re.compile("[·×ˇ-˙‐-※€①-⓿─-◿　-㏿一-鿿-豈-﫿︰-￯Α-ёⅠ-ⅻ←-⊙�]+")
 #: A CJK character inside a word in Latin letters: plain characters that make no plausible text.
-_INSIDE = re.compile("(?<=[a-zà-ÿ])[一-鿿]+(?=[a-zà-ÿ])|(?<=[A-Za-z])[一-鿿](?=[a-z])")
+_INSIDE = re.compile("(?<=[a-zà-ÿ])[一-鿿]+(?=[a-zà-ÿ])|(?<=[A-Za-z])[一-鿿](?=[a-z])|(?<=[a-z]{3})[一-鿿](?![一-鿿])")
 _ESCAPED = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]{2,8});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|(?:%[0-9A-Fa-f]{2}){2,}|(?:=[0-9A-F]{2}){3,}")
 
 
@@ -201,6 +201,9 @@ class Searcher:
                     best, start, end = run, a, i + 1
             if best < LEAST_GAIN - 1 or end - start < 2:
                 return piece
+            # wholly garbled rather than partly, if the rest of the stretch loses nothing by it
+            if all(x != c or self.char(c) > 1 for x, c in zip(new, piece)) and sum(gains) >= best - 0.5 * (len(piece) - (end - start)) - 2.0:
+                start, end = 0, len(piece)
             return piece[:start] + "".join(new[start:end]) + piece[end:]
 
         new = _WIDE.sub(undo, text)
