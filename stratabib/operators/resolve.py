@@ -23,24 +23,30 @@ PRIMARY_FIELDS = {"year", "institution", "institution_norm"}
 def components(rows: DataFrame, id_col: str, keys: list[str], max_rounds: int = 50) -> DataFrame:
     """``(id_col, component)`` of every row: the smallest id reachable over equal keys.
 
-    Labels spread over keys: each round takes the minimum per key, then per row, and points a label to its own
-    label (which halves long chains). Both steps combine before the shuffle; rounds are written to the shared folder.
+    Rows hold a parent, at first themselves. A round offers each row the least grandparent met under its keys, hooks the
+    row and its parent to it, and points the row to its grandparent; trees merge and flatten at once, so rounds grow with
+    the logarithm of the longest chain. Keys are aggregated before the shuffle, so a key that many rows share costs
+    one row a task. Rounds are written to the shared folder.
     """
     long = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*(F.struct(F.lit(i).alias("c"), T.text_or_empty(k).alias("k")) for i, k in enumerate(keys)))).alias("e")).select("id", "e.c", "e.k").filter("k <> ''")
-    links = stage(long, "links").df
-    now = stage(rows.select(F.col(id_col).alias("id"), F.col(id_col).alias("label")), "labels")
+    shared = long.groupBy("c", "k").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("c", "k")
+    links = stage(long.join(shared, ["c", "k"]).select("id", F.xxhash64("c", "k").alias("k")), "links").df
+    now = stage(links.select("id").distinct().withColumn("f", F.col("id")), "parents")
     for _ in range(max_rounds):
-        labelled = links.join(now.df, "id")
-        by_key = labelled.groupBy("c", "k").agg(F.min("label").alias("least"))
-        offered = links.join(by_key, ["c", "k"]).groupBy("id").agg(F.min("least").alias("offer"))
-        moved = now.df.join(offered, "id", "left").select("id", "label", F.least("label", F.coalesce("offer", "label")).alias("new"))
-        jump = moved.select(F.col("id").alias("new"), F.col("new").alias("further"))
-        after = stage(moved.join(jump, "new", "left").select("id", F.least("new", F.coalesce("further", "new")).alias("label"), (F.least("new", F.coalesce("further", "new")) < F.col("label")).alias("changed")), "labels")
+        up = now.df.select(F.col("id").alias("f"), F.col("f").alias("g"))
+        held = now.df.join(up, "f").select("id", "f", "g")
+        least = links.join(held.select("id", "g"), "id").groupBy("k").agg(F.min("g").alias("m"))
+        offers = links.join(least, "k").groupBy("id").agg(F.min("m").alias("m"))
+        met = held.join(offers, "id")
+        moves = met.select(F.explode(F.array(F.struct("id", F.least("m", "g").alias("to")), F.struct(F.col("f").alias("id"), F.col("m").alias("to")))).alias("x")).select("x.id", "x.to").groupBy("id").agg(F.min("to").alias("to"))
+        after = stage(now.df.join(moves, "id", "left").select("id", F.least("f", F.coalesce("to", "f")).alias("f"), (F.coalesce("to", "f") < F.col("f")).alias("changed")), "parents")
         now.drop()
         now = after
         if not now.df.filter("changed").limit(1).count():
             break
-    return now.df.select(F.col("id").alias(id_col), F.col("label").alias("component"))
+    grouped = now.df.select(F.col("id").alias("_i"), F.col("f").alias("_c"))
+    ids = rows.select(F.col(id_col).alias(id_col)).distinct()
+    return ids.join(grouped, F.col(id_col) == F.col("_i"), "left").select(id_col, F.coalesce("_c", F.col(id_col)).alias("component"))
 
 
 def replay(rows: list[tuple[int, str, str]]) -> list[tuple[int, int, int]]:

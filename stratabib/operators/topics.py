@@ -40,9 +40,18 @@ def canonical(token: Column, table: dict[str, str]) -> Column:
     )
 
 
+def inflected(table: dict[str, str]) -> dict[str, str]:
+    """The table with plural forms spelled out, for one lookup a word."""
+    plurals = {f"{k}s": v for k, v in table.items()} | {f"{k[:-1]}ies": v for k, v in table.items() if k.endswith("y")}
+    return plurals | table
+
+
 def english_tokens(text: Column, phrases: dict[str, str] = PHRASES, table: dict[str, str] = CANONICAL, stop: list[str] = STOPWORDS) -> Column:
     words = F.regexp_extract_all(F.regexp_replace(replace_phrases(text, phrases), "[-/]", " "), F.lit("[a-z][a-z0-9_]+"), 0)
-    return F.filter(F.transform(words, lambda w: canonical(w, table)), lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
+    forms = inflected(table)
+    m = F.create_map(*(F.lit(x) for kv in forms.items() for x in kv))
+    # few words are in the table: a set look-up decides before the map is searched
+    return F.transform(F.filter(F.transform(words, lambda w: F.rtrim(w, F.lit("_"))), lambda w: (F.length(w) >= 2) & ~w.isin(*stop)), lambda w: F.when(w.isin(*forms), F.try_element_at(m, w)).otherwise(w))
 
 
 def chinese_tokens(text: Column, words: list[str]) -> Column:

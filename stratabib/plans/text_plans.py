@@ -82,7 +82,7 @@ SELECT period, count(*) AS n_docs, count(*) FILTER (text <> '') AS with_abstract
 
 def term_pair_npmi(spark, d):
     """Coherence of the pairs of the thirty terms in most documents."""
-    docs = _tokens(spark, d).filter("lang = 'en'").select("rec_id", "tokens")
+    docs = stage(_tokens(spark, d).filter("lang = 'en'").select("rec_id", "tokens"), "npmi-docs").df
     top = K.term_frequency(docs, "tokens").orderBy(F.desc("df"), "term").limit(30)
     return K.npmi(docs, "rec_id", "tokens", top)
 
