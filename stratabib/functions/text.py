@@ -32,15 +32,20 @@ def compact(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"(?U)\s+", " "), "^ | $", "")
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
+def nfkc(c: Column | str) -> Column:
     """Compatibility composition; Spark has no built-in for it."""
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
-@F.pandas_udf("string")
-def strip_accents(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
+    return F.pandas_udf(compose, "string")(col(c))
+
+
+def strip_accents(c: Column | str) -> Column:
+    def strip(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: "".join(k for k in unicodedata.normalize("NFKD", x) if not unicodedata.combining(k)), na_action="ignore")
+
+    return F.pandas_udf(strip, "string")(col(c))
 
 
 def to_int(c: Column | str) -> Column:
