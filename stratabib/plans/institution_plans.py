@@ -9,6 +9,7 @@ from stratabib.functions import text as T
 from stratabib.operators import indicators as I
 from stratabib.operators import institutions as N
 from stratabib.operators import mcdm as M
+from stratabib.operators import translation as X
 from stratabib.plans import sql as S
 from stratabib.runtime import stage, table
 
@@ -182,6 +183,52 @@ r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, country) A
 SELECT name, max(country) FILTER (k = 1) AS main_country, round(max(n) FILTER (k = 1) / max(total), 4) AS main_share, CAST(max(nc) AS INTEGER) AS n_countries, string_agg(country, ' / ' ORDER BY k) FILTER (k <= 3) AS summary FROM r GROUP BY name"""
 
 
+def rule_precedence(spark, d):
+    """Rules of all origins, the later table first: lists, then automatic, then manual ones."""
+    r = table(spark, d, RULES).select(F.col("机构原始名称").alias("name"), F.col("机构标准名").alias("value"), F.col("规则来源").alias("origin"))
+    return X.assemble_rules([r.filter(F.col("origin") == o).select("name", "value") for o in ("外部词表", "自动核名", "人工核名")])
+
+
+SQL_PRECEDENCE = f"""WITH r AS (SELECT trim("机构原始名称") AS name, trim("机构标准名") AS value, CASE "规则来源" WHEN '外部词表' THEN 0 WHEN '自动核名' THEN 1 WHEN '人工核名' THEN 2 END AS priority FROM {RULES})
+SELECT name, value, priority FROM r WHERE name <> '' AND value <> '' AND priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY priority DESC, value DESC) = 1"""
+
+
+def translated_names(spark, d):
+    """Every name with its translation, method and reasons for review."""
+    names = name_frequency_by_source(spark, d).select("name", "count")
+    exact = _mapping(spark, d).select("name", F.col("norm").alias("value"))
+    keyed = exact.withColumn("key", N.alias_key(F.col("name"))).filter("key <> ''").groupBy("key").agg(F.count_distinct("value").alias("n"), F.min("value").alias("value")).filter("n = 1").select("key", "value")
+    return X.translate_table(names, exact, keyed, country_shares(spark, d))
+
+
+_GEN = ", ".join(f"'{g}'" for g in X.GENERIC)
+_WORDCASE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.WORDS.items())
+SQL_TRANSLATED = f"""WITH {_BLOCKS}, {_MAP}, u AS (SELECT DISTINCT rec_id, source_db, name FROM names), f AS (SELECT name, count(*) AS count, {_alias("name")} AS key FROM u GROUP BY name),
+k AS (SELECT key, min(norm) AS norm FROM (SELECT {_alias("name")} AS key, norm FROM map) WHERE key <> '' GROUP BY key HAVING count(DISTINCT norm) = 1),
+cs AS (SELECT name, country, count(*) AS n FROM names WHERE country <> '' GROUP BY ALL), sh AS (SELECT name, count(*) AS nc, max(n) / sum(n) AS ms FROM cs GROUP BY name),
+w AS (SELECT f.*, map.norm AS e, k.norm AS kv, array_to_string(list_transform(string_split(f.key, ' '), lambda x: CASE x {_WORDCASE} ELSE x END), '') AS words, coalesce(nc, 0) AS nc, round(coalesce(ms, 1.0), 4) AS ms,
+  regexp_matches(f.name, '[一-鿿]') AS zh FROM f LEFT JOIN map ON f.name = map.name LEFT JOIN k ON f.key = k.key LEFT JOIN sh ON f.name = sh.name),
+m AS (SELECT *, CASE WHEN e IS NOT NULL THEN 'exact' WHEN kv IS NOT NULL THEN 'canonical' WHEN zh THEN 'raw_cjk'
+  WHEN NOT (words = '' OR words IN ({_GEN}) OR regexp_matches(words, '[A-Za-z]') OR (NOT zh AND length(words) <= 4 AND regexp_matches(words, '{"|".join(X.GENERIC)}'))) THEN 'auto_word_level' ELSE 'raw_fallback' END AS method FROM w),
+o AS (SELECT *, coalesce(e, kv, CASE WHEN method = 'auto_word_level' THEN words ELSE name END) AS norm FROM m),
+q AS (SELECT *, norm <> '' AND NOT regexp_matches(norm, '[一-鿿]') AS latin, regexp_matches(lower(name), 'petrochina|sinopec|cnpc|cnooc|oilfield|company|corp') AS ent FROM o),
+r AS (SELECT *, array_to_string(list_filter([CASE WHEN norm = '' THEN 'empty_trans_or_norm' END, CASE WHEN latin AND (count >= {X.HIGH} OR (ent AND count >= {X.MEDIUM})) THEN 'norm_not_cjk' END,
+  CASE WHEN norm IN ({_GEN}) AND count >= {X.HIGH} THEN 'high_freq_auto_result' END, CASE WHEN method <> 'exact' AND count >= {X.HIGH} AND NOT (name = norm AND regexp_matches(norm, '[一-鿿]')) AND (latin OR norm IN ({_GEN})) THEN 'top_freq_needs_review' END,
+  CASE WHEN ent AND latin AND count >= {X.MEDIUM} THEN 'generic_enterprise_alias' END, CASE WHEN nc > 1 AND ms < 0.9 AND regexp_matches(lower(name), '^[a-z0-9]{{1,6}}$') AND count >= {X.LOW} THEN 'same_name_country_disambiguation' END,
+  CASE WHEN contains(norm, '待区分') THEN 'pending_disambiguation_label' END], lambda x: x IS NOT NULL), ' | ') AS review_reason FROM q)
+SELECT name, count, words, norm, method, CAST(review_reason <> '' AS INTEGER) AS review_flag, review_reason FROM r"""
+
+
+def noise_names(spark, d):
+    """Names that are addresses, offices or half translated."""
+    return name_frequency_by_source(spark, d).filter(N.is_noise(F.col("name"))).select("name", "count")
+
+
+SQL_NOISE = rf"""WITH {_BLOCKS}, u AS (SELECT DISTINCT rec_id, name FROM names), f AS (SELECT name, count(*) AS count FROM u GROUP BY name)
+SELECT * FROM f WHERE regexp_matches(name, '^\d+\s*[A-Za-z]') OR regexp_matches(name, '^\d{{6}}$') OR regexp_matches(name, '编辑部|编委会|办公室|项目部') OR {_word("name", "editorial office")} OR {_word("name", "editorial board")} OR {_word("name", "working group")}
+  OR regexp_matches(name, '[一-鿿](and|of)[一-鿿]') OR regexp_matches(name, '[a-z]{{3,}}[一-鿿]')"""
+
+
 def _bridge(spark, d):
     """Papers, their norm names, and those names' countries."""
     pairs = _blocks(spark, d).join(_mapping(spark, d), "name").select(F.col("rec_id").alias("paper"), F.col("norm").alias("inst"), "country", F.col("rec_id").alias("seq"))
@@ -393,7 +440,7 @@ SELECT item, dimension, score, row_number() OVER (PARTITION BY dimension ORDER B
 _ALL = {
     "institution_names": (institution_names, ""), "institution_countries": (institution_countries, ""), "name_frequency_by_source": (name_frequency_by_source, SQL_FREQUENCY), "norm_frequency": (norm_frequency, SQL_NORM),
     "top100_institutions": (top100_institutions, SQL_TOP), "tiered_lookup": (tiered_lookup, SQL_TIERED), "containment_match": (containment_match, SQL_CONTAINMENT), "fuzzy_match": (fuzzy_match, ""), "dominant_aliases": (dominant_aliases, SQL_DOMINANT),
-    "type_cascade": (type_cascade, SQL_TYPES), "country_shares": (country_shares, SQL_SHARES), "institution_h_index": (institution_h_index, SQL_H), "citation_p90": (citation_p90, SQL_P90), "year_bucket_counts": (year_bucket_counts, SQL_BUCKETS),
+    "type_cascade": (type_cascade, SQL_TYPES), "country_shares": (country_shares, SQL_SHARES), "rule_precedence": (rule_precedence, SQL_PRECEDENCE), "translated_names": (translated_names, SQL_TRANSLATED), "noise_names": (noise_names, SQL_NOISE), "institution_h_index": (institution_h_index, SQL_H), "citation_p90": (citation_p90, SQL_P90), "year_bucket_counts": (year_bucket_counts, SQL_BUCKETS),
     "collaboration_metrics": (collaboration_metrics, SQL_COLLABORATION), "home_countries": (home_countries, SQL_HOME), "impact_indicators": (impact_indicators, SQL_IMPACT), "minmax_matrix": (minmax_matrix, SQL_MINMAX), "unit_matrix": (unit_matrix, SQL_UNIT),
     "correlation_matrix": (correlation_matrix, SQL_CORR), "prior_weights": (prior_weights, SQL_PRIOR), "entropy_weights": (entropy_weights, SQL_ENTROPY), "critic_weights": (critic_weights, SQL_CRITIC), "combined_weights": (combined_weights, SQL_COMBINED),
     "topsis_scores": (topsis_scores, SQL_TOPSIS), "dimension_scores": (dimension_scores, SQL_DIMENSIONS), "dimension_top10": (dimension_top10, SQL_TOP10),

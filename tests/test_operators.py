@@ -186,3 +186,18 @@ def test_delimited_tables(spark, tmp_path):
     parts = D.part_ids(spark.range(10).withColumnRenamed("id", "k"), ["k"], 4, block=3)
     assert sorted((r["k"], r["part"]) for r in parts.collect()) == [(k, k // 4 + 1) for k in range(10)]
     assert D.lexicon_path({"e1"}.__contains__, ("e1", "e2"), ("b1", "b2"))[0] == "base"
+
+
+def test_translation_rules(spark):
+    from stratabib.operators import translation as X
+
+    assert one(spark, X.numbered_plant(F.col("a")), "No. 3 Oil Production Plant of X") == "第三采油厂"
+    assert one(spark, X.numbered_plant(F.col("a")), "No.12 Gas Production Plant") == "第十二采气厂" and one(spark, X.numbered_plant(F.col("a")), "Plant 3") is None
+    assert one(spark, X.translate_words(F.col("a")), "Univ Petr") == "大学石油"
+    assert one(spark, X.transliterate(F.col("a")), "Ost-lu") == "奥-鲁"
+    t = spark.createDataFrame([("a", "1"), ("b", "2"), ("", "x")], "name string, value string")
+    u = spark.createDataFrame([("a", "3"), ("a", "2"), (None, "4")], "name string, value string")
+    assert sorted((r["name"], r["value"], r["priority"]) for r in X.assemble_rules([t, u]).collect()) == [("a", "3", 1), ("b", "2", 0)]
+    reason = X.review_reasons(F.col("a"), F.lit(120), F.col("b"), F.col("c"), F.lit(2), F.lit(0.5))
+    assert one(spark, reason, "Delta Company", "Delta Company", "raw_fallback") == "norm_not_cjk | top_freq_needs_review | generic_enterprise_alias"
+    assert one(spark, reason, "甲公司", "甲公司", "raw_cjk") == ""
