@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A CJK character outside the commonest level counts as common if it makes up this share of the corpus's characters.
-COMMON_SHARE = 1.2e-4
+#: A CJK character outside the commonest level counts as ordinary if met so often in texts that are so ordinary otherwise.
+LEAST, COMPANY = 12, 0.55
 _CJK_SIGNS = set("，。、；：？！（）《》“”‘’—…·～【】〔〕「」％－＋／　〇①②③④⑤℃‰×÷±≤≥≈∶–−′″•")
 
 
@@ -48,27 +48,56 @@ def prior(c: str) -> float:
     return 5.0
 
 
+#: Characters that ordinary Chinese text is made of, by the prior alone.
+ORDINARY = frozenset(c for c in map(chr, range(0x4E00, 0xA000)) if prior(c) <= 1.0)
+#: Left by replacement characters that were decoded once more; never ordinary, however often they occur.
+NEVER = {"锟"}
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per character its count and, for CJK characters that aren't ordinary, the texts it is in and how ordinary those are."""
     counts: Counter = Counter()
+    texts: Counter = Counter()
+    company: Counter = Counter()
     for batch in batches:
         for column in batch.columns:
-            counts.update("".join(x for x in column.to_pylist() if x))
-    yield pa.RecordBatch.from_pydict({"c": [ord(c) for c in counts], "n": list(counts.values())}, schema=pa.schema([("c", pa.int32()), ("n", pa.int64())]))
+            values = [x for x in column.to_pylist() if x]
+            counts.update("".join(values))
+            for text in values:
+                if text.isascii():
+                    continue
+                rare = [c for c in set(text).difference(ORDINARY) if "一" <= c <= "鿿"]
+                if rare:
+                    plain = sum(c in ORDINARY for c in text)
+                    share = plain / (plain + sum("一" <= c <= "鿿" and c not in ORDINARY for c in text))
+                    for c in rare:
+                        texts[c] += 1
+                        company[c] += share
+    schema = pa.schema([("c", pa.int32()), ("n", pa.int64()), ("texts", pa.int64()), ("company", pa.float64())])
+    yield pa.RecordBatch.from_pydict({"c": [ord(c) for c in counts], "n": list(counts.values()), "texts": [texts[c] for c in counts], "company": [float(company[c]) for c in counts]}, schema=schema)
+
+
+def character_counts(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float]]:
+    """Each character's count in whole columns and the share of ordinary characters in the texts that have it.
 
+    Tallied within tasks first. At most the 1.1 million code points.
+    """
+    tallied = df.select(*(F.col(c).cast("string") for c in columns)).mapInArrow(_tally, "c int, n bigint, texts bigint, company double")
+    rows = tallied.groupBy("c").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.sum("company").alias("company")).collect()
+    return {chr(r["c"]): (r["n"], r["company"] / r["texts"] if r["texts"] else 1.0) for r in rows if not 0xD800 <= r["c"] <= 0xDFFF}
 
-def character_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Counts of all characters in whole columns, tallied within tasks first. At most the 1.1 million code points."""
-    rows = df.select(*(F.col(c).cast("string") for c in columns)).mapInArrow(_tally, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    return {chr(r["c"]): r["n"] for r in rows if not 0xD800 <= r["c"] <= 0xDFFF}
 
+def costs(counts: dict[str, tuple[int, float] | int]) -> dict[str, float]:
+    """Cost of each character met in the corpus: its prior, but 1 for CJK characters that keep ordinary company.
 
-def costs(counts: dict[str, int]) -> dict[str, float]:
-    """Cost of each character met in the corpus: its prior, 1 for CJK characters that are frequent there."""
-    total = sum(n for c, n in counts.items() if "一" <= c <= "鿿") or 1
+    Characters of names are rare in the language and yet stand in ordinary text; those that wrong decoding makes
+    stand among their like, however frequent they are.
+    """
     out = {}
-    for c, n in counts.items():
+    for c, known in counts.items():
+        n, company = known if isinstance(known, tuple) else (known, 1.0)
         cost = prior(c)
-        if 1.0 < cost < 5.5 and "一" <= c <= "鿿" and n >= COMMON_SHARE * total and n >= 12:
+        if 1.0 < cost < 5.5 and "一" <= c <= "鿿" and n >= LEAST and company >= COMPANY and c not in NEVER:
             cost = 1.0
         out[c] = cost
     return out

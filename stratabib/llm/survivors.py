@@ -89,10 +89,11 @@ def _cells(rows: DataFrame, groups: DataFrame, feed: DataFrame, fields: dict[str
     judged = stage(values.join(graded, ["field_name", "_value"]), "graded-values").df
     # among sorted values of a group, one that begins another begins its successor
     readable = judged.filter(F.col("_grade") > UNUSABLE).select("_g", "field_name", "_value").distinct()
-    readable = readable.withColumn("_stem", F.regexp_replace("_value", r"[\s.…]+$", "")).withColumn("_head", F.substring("_stem", 1, 6))
-    after = F.lead("_stem").over(W.partitionBy("_g", "field_name", "_head").orderBy("_stem", "_value"))
-    rest = F.substring(after, F.length("_stem") + 1, 2**30)
-    begun = readable.withColumn("_next", after).withColumn("_rest", rest).filter(F.col("_next").startswith(F.col("_stem")) & (F.length("_rest") > 0) & ~F.col("field_name").isin([f for f in fields if fields[f] == "count"]))
+    readable = readable.filter(~F.col("field_name").isin([f for f in fields if fields[f] == "count"])).withColumn("_stem", F.regexp_replace("_value", r"[\s.…]+$", ""))
+    stems = readable.select("_g", "field_name", "_stem").distinct().withColumn("_head", F.substring("_stem", 1, 2))
+    after = F.lead("_stem").over(W.partitionBy("_g", "field_name", "_head").orderBy("_stem"))
+    begun = stems.withColumn("_next", after).filter(F.col("_next").startswith(F.col("_stem")) | (F.length("_stem") < 2))
+    begun = readable.join(begun.select("_g", "field_name", "_stem"), ["_g", "field_name", "_stem"])
     judged = judged.join(begun.select("_g", "field_name", "_value", F.lit(True).alias("_begun")), ["_g", "field_name", "_value"], "left")
     judged = judged.withColumn("_grade", F.when(F.col("_begun") & (F.col("_grade") == WHOLE), CUT).otherwise(F.col("_grade")))
     return judged.groupBy("_g", "field_name", "_grade", "_trust").agg(F.max(F.struct("_best", "_value")).alias("_top"))
