@@ -7,8 +7,11 @@ files instead of recomputing the plan before it.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +55,26 @@ def stage(df: DataFrame, name: str) -> Staged:
     return Staged(spark, path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the session's Python workers, which may not have it on their path; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    shared = shared_dir(spark)
+    folder = Path(shared.removeprefix("file://").removeprefix("file:")) if shared.startswith(("file:", "/")) else Path(tempfile.mkdtemp(prefix="stratabib-"))
+    os.makedirs(folder, exist_ok=True)
+    archive = folder / f"stratabib-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def rows_within(df: DataFrame, bound: int) -> list | None:
     """The rows of ``df`` if there are at most ``bound``, else None; never gathers more than bound + 1."""
     rows = df.limit(bound + 1).collect()
