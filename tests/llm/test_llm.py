@@ -352,6 +352,20 @@ def test_copies_in_a_large_block(spark):
     assert {i for p in got for i in p} == set(range(1, 81)) and all((a + b) % 2 for a, b in got)
 
 
+def test_large_blocks_of_different_records(spark):
+    """Blocks over the bound are divided; what can't be divided is linked to one record of the other source."""
+    order = [c.split()[0] for c in RECORDS.split(", ")]
+    r = records()[0]
+    years = [r | dict(rec_id=i, source_db="WOS" if i % 2 else "CNKI", year=str(2001 + i // 2 % 20), doi=f"10.99000/j.2023.{i:04d}", author=f"Chu, Yi; Meng, Q{i}") for i in range(1, 301)]
+    bare = [r | dict(rec_id=1000 + i, source_db="WOS" if i % 2 else "CNKI", title_en="Editorial of the whole issue", author=None, year=None, journal_en=None, doi=f"10.99000/e.2023.{i:04d}") for i in range(300)]
+    df = spark.createDataFrame([tuple(x[c] for c in order) for x in years + bare], RECORDS)
+    keyed = df.select(F.col("rec_id").alias("id"), F.col("source_db").alias("source"), *linkage.COLUMNS).mapInArrow(linkage._keyed({}), linkage._KEYS_DDL)
+    got = {tuple(p) for p in linkage.candidate_pairs(keyed).collect()}
+    same_year = {(a["rec_id"], b["rec_id"]) for a in years for b in years if a["rec_id"] < b["rec_id"] and a["source_db"] != b["source_db"] and a["year"] == b["year"]}
+    assert same_year <= got
+    assert {x for p in got for x in p} >= {x["rec_id"] for x in bare} and sum(a >= 1000 for a, _ in got) <= 300
+
+
 def test_evidence_of_other_works():
     a = Record(TITLE, None, None, "Chu, Yi", None, "2023", None, None, "J")
     alone = lambda r, q: linkage._alone(*evidence(r, q)[:6])
