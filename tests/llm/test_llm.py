@@ -352,6 +352,17 @@ def test_copies_in_a_large_block(spark):
     assert {i for p in got for i in p} == set(range(1, 81)) and all((a + b) % 2 for a, b in got)
 
 
+def test_every_copy_has_every_pair(spark, monkeypatch):
+    """Copies of a work that the other source writes differently, in a large block, over the parts of a head."""
+    monkeypatch.setattr(linkage, "COPIES", 7)
+    order = [c.split()[0] for c in RECORDS.split(", ")]
+    r = records()[0]
+    rows = [r | dict(rec_id=i, source_db="WOS") for i in range(1, 41)] + [r | dict(rec_id=i, source_db="CNKI", title_cn="玻玛兰地区砾岩水力压裂", author_cn="褚毅") for i in range(41, 81)]
+    df = spark.createDataFrame([tuple(x[c] for c in order) for x in rows], RECORDS)
+    got = sorted((x["rec_id_a"], x["rec_id_b"]) for x in linkage.link_records(df).collect())
+    assert got == [(a, b) for a in range(1, 41) for b in range(41, 81)]
+
+
 def test_large_blocks_of_different_records(spark):
     """Blocks over the bound are divided; what can't be divided is linked to one record of the other source."""
     order = [c.split()[0] for c in RECORDS.split(", ")]
