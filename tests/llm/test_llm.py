@@ -363,6 +363,17 @@ def test_every_copy_has_every_pair(spark, monkeypatch):
     assert got == [(a, b) for a in range(1, 41) for b in range(41, 81)]
 
 
+@pytest.mark.parametrize(("n", "huge"), [(90, linkage.HUGE), (6, 0)])
+def test_pairs_that_follow_have_no_bound(spark, monkeypatch, n, huge):
+    """A chain of matches, each record of another source than its neighbours, gives all pairs of different sources."""
+    monkeypatch.setattr(linkage, "PART", 20)
+    source = lambda i: ("CNKI", "CSCD", "WOS")[i % 3]
+    rows = [(i, i + 1, source(i), source(i + 1), i, i + 1, "", "", 3.0, 1.0, 2.0, 1.0, 4.0, 1.5) for i in range(n - 1)]
+    weighed = spark.createDataFrame(rows, linkage._EVIDENCE_DDL)
+    got = sorted((x["rec_id_a"], x["rec_id_b"]) for x in linkage._matches(weighed, huge).collect())
+    assert got == [(a, b) for a in range(n) for b in range(a + 1, n) if a % 3 != b % 3]
+
+
 def test_large_blocks_of_different_records(spark):
     """Blocks over the bound are divided; what can't be divided is linked to one record of the other source."""
     order = [c.split()[0] for c in RECORDS.split(", ")]
