@@ -388,6 +388,22 @@ def test_large_blocks_of_different_records(spark):
     assert {x for p in got for x in p} >= {x["rec_id"] for x in bare} and sum(a >= 1000 for a, _ in got) <= 300
 
 
+def test_large_blocks_lose_no_pair(spark, monkeypatch):
+    """In a large block a record without author_cn, with another year or with initials meets the same work of the other source."""
+    monkeypatch.setattr(linkage, "CELL", 40)
+    order = [c.split()[0] for c in RECORDS.split(", ")]
+    r = records()[0] | dict(title_en="Editorial of the whole issue", doi=None)
+    wos = [r | dict(rec_id=i, source_db="WOS", author=f"{chr(97 + i // 26) * 3}, {chr(97 + i % 26)}", year="2020") for i in range(100)]
+    cnki = [r | dict(rec_id=200 + i, source_db="CNKI", author=f"{chr(97 + i // 26) * 3} {chr(97 + i % 26)}an", author_cn=f"作者{chr(0x4E00 + i)}", year=("2020", "2021", None)[i % 3]) for i in range(100)]
+    df = spark.createDataFrame([tuple(x[c] for c in order) for x in wos + cnki], RECORDS)
+    keyed = df.select(F.col("rec_id").alias("id"), F.col("source_db").alias("source"), *linkage.COLUMNS).mapInArrow(linkage._keyed({}), linkage._KEYS_DDL)
+    got = sorted(map(tuple, linkage.pairs_of_large_blocks(keyed).collect()))
+    alone = lambda x, y: linkage._alone(*evidence(*(Record(*(z[c] for c in linkage.COLUMNS)) for z in (x, y)))[:6])
+    assert got == [(x["rec_id"], y["rec_id"]) for x in wos for y in cnki if alone(x, y) >= linkage.HOPELESS]
+    found = {(x["rec_id_a"], x["rec_id_b"]) for x in linkage.link_records(df).collect()}
+    assert {(i, 200 + i) for i in range(100)} <= found
+
+
 def test_evidence_of_other_works():
     a = Record(TITLE, None, None, "Chu, Yi", None, "2023", None, None, "J")
     alone = lambda r, q: linkage._alone(*evidence(r, q)[:6])
