@@ -122,12 +122,13 @@ class Index:
         best: dict[int, tuple[int, int, int]] = {}
         for (k, _), found in self.candidates(text).items():
             item = self.items[k]
-            done: set[int] = set()
+            q = self.q[item.lang]
+            done: dict[int, int] = {}  # by diagonal: where the run of equal letters last aligned ends in the item
             for p, at in found:
-                if p - at in done:
+                if at < done.get(p - at, 0):
                     continue
-                a, b, d = align(text, item.letters, p, at, self.q[item.lang])
-                done.add(p - at)
+                a, b, d = align(text, item.letters, p, at, q)
+                done[p - at] = at + q + _run(text, item.letters, p + q, at + q)
                 if item.enough(a, b) and (k not in best or b - a > best[k][1] - best[k][0]):
                     best[k] = (a, b, d)
         return [(self.items[k].item_id, a, b, d) for k, (a, b, d) in best.items()]

@@ -170,6 +170,26 @@ def test_leaks_against_brute_force():
         assert {i for i, *_ in index.leaks(leakage.letters(text))} == {i.item_id for i in items if brute_leak(text, i)}
 
 
+def test_leaks_of_altered_quotes_against_brute_force():
+    """A letter replaced by another keeps the diagonal: the longer run behind a short one counts."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    items = [leakage.Item(i, "en", " ".join(rng.choice(vocabulary) for _ in range(26))) for i in range(10)]
+    items += [leakage.Item(100 + i, "zh", "".join(chr(0x4E00 + rng.randint(0, 900)) for _ in range(60))) for i in range(10)]
+    index = leakage.Index(items)
+    behind = 0
+    for _ in range(300):
+        item = rng.choice(items)
+        quoted = list(item.letters)
+        for at in rng.sample(range(len(quoted)), rng.randint(1, 3)):
+            quoted[at] = "龠" if item.lang == "zh" else "0"
+        text = "xx" + "".join(quoted) + "yy"
+        want = {i.item_id for i in items if brute_leak(text, i)}
+        behind += bool(want)
+        assert {i for i, *_ in index.leaks(leakage.letters(text))} == want
+    assert behind > 100
+
+
 def test_leak_edges(spark):
     words = "one two three four five six seven eight nine ten eleven twelve thirteen"
     items = spark.createDataFrame([(1, "qa", "en", words), (1, "qa", "en", words), (2, "qa", None, None), (3, "qa", "en", "short item here"), (4, "qa", "en", "")], "item_id bigint, task string, lang string, item_text string")
