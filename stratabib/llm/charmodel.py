@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A CJK character outside the commonest level counts as ordinary if met so often in texts that are so ordinary otherwise.
 LEAST, COMPANY = 12, 0.55
+#: Share of all texts with other than ASCII characters that such a character is in at least, so that a larger corpus needs more of it.
+SHARE = 2.25e-4
 _CJK_SIGNS = set("，。、；：？！（）《》“”‘’—…·～【】〔〕「」％－＋／　〇①②③④⑤℃‰×÷±≤≥≈∶–−′″•")
 
 
@@ -54,11 +56,16 @@ ORDINARY = frozenset(c for c in map(chr, range(0x4E00, 0xA000)) if prior(c) <= 1
 NEVER = {"锟"}
 
 
+#: Row of a tally that counts all texts.
+_TOTAL = -1
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per character its count and, for CJK characters that aren't ordinary, the texts it is in and how ordinary those are."""
     counts: Counter = Counter()
     texts: Counter = Counter()
     company: Counter = Counter()
+    total = 0
     for batch in batches:
         for column in batch.columns:
             values = [x for x in column.to_pylist() if x]
@@ -66,6 +73,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in values:
                 if text.isascii():
                     continue
+                total += 1
                 rare = [c for c in set(text).difference(ORDINARY) if "一" <= c <= "鿿"]
                 if rare:
                     plain = sum(c in ORDINARY for c in text)
@@ -74,20 +82,21 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         texts[c] += 1
                         company[c] += share
     schema = pa.schema([("c", pa.int32()), ("n", pa.int64()), ("texts", pa.int64()), ("company", pa.float64())])
-    yield pa.RecordBatch.from_pydict({"c": [ord(c) for c in counts], "n": list(counts.values()), "texts": [texts[c] for c in counts], "company": [float(company[c]) for c in counts]}, schema=schema)
+    yield pa.RecordBatch.from_pydict({"c": [_TOTAL, *map(ord, counts)], "n": [0, *counts.values()], "texts": [total, *(texts[c] for c in counts)], "company": [0.0, *(float(company[c]) for c in counts)]}, schema=schema)
 
 
-def character_counts(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float]]:
-    """Each character's count in whole columns and the share of ordinary characters in the texts that have it.
+def character_counts(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
+    """Each character's count in whole columns, the share of ordinary characters in the texts that have it, and the share of texts that do.
 
     Tallied within tasks first. At most the 1.1 million code points.
     """
     tallied = df.select(*(F.col(c).cast("string") for c in columns)).mapInArrow(_tally, "c int, n bigint, texts bigint, company double")
     rows = tallied.groupBy("c").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.sum("company").alias("company")).collect()
-    return {chr(r["c"]): (r["n"], r["company"] / r["texts"] if r["texts"] else 1.0) for r in rows if not 0xD800 <= r["c"] <= 0xDFFF}
+    total = max(1, sum(r["texts"] for r in rows if r["c"] == _TOTAL))
+    return {chr(r["c"]): (r["n"], r["company"] / r["texts"] if r["texts"] else 1.0, r["texts"] / total) for r in rows if r["c"] != _TOTAL and not 0xD800 <= r["c"] <= 0xDFFF}
 
 
-def costs(counts: dict[str, tuple[int, float] | int]) -> dict[str, float]:
+def costs(counts: dict[str, tuple[int, float, float] | int]) -> dict[str, float]:
     """Cost of each character met in the corpus: its prior, but 1 for CJK characters that keep ordinary company.
 
     Characters of names are rare in the language and yet stand in ordinary text; those that wrong decoding makes
@@ -95,9 +104,9 @@ def costs(counts: dict[str, tuple[int, float] | int]) -> dict[str, float]:
     """
     out = {}
     for c, known in counts.items():
-        n, company = known if isinstance(known, tuple) else (known, 1.0)
+        n, company, share = known if isinstance(known, tuple) else (known, 1.0, 1.0)
         cost = prior(c)
-        if 1.0 < cost < 5.5 and "一" <= c <= "鿿" and n >= LEAST and company >= COMPANY and c not in NEVER:
+        if 1.0 < cost < 5.5 and "一" <= c <= "鿿" and n >= LEAST and share >= SHARE and company >= COMPANY and c not in NEVER:
             cost = 1.0
         out[c] = cost
     return out

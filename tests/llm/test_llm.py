@@ -131,6 +131,18 @@ def test_plain_text_is_left_alone(text):
     assert not mojibake.Searcher(COSTS).search(text).garbled
 
 
+def test_ordinary_characters_are_alike_at_every_size(spark):
+    """A rare character in ordinary company is judged by its share of the texts, however often the texts are repeated."""
+    plain = "油田开发与储层改造评价体系研究"
+    texts = [plain] * 20_000 + [plain + "硌"] * 2 + [plain + "喆"] * 40
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    ordinary = []
+    for times in (1, 10):
+        costs = charmodel.costs(charmodel.character_counts(df.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(times)))), ["t"]))
+        ordinary.append({c for c in "硌喆" if costs[c] <= 1.0})
+    assert charmodel.prior("硌") > 1 and ordinary == [{"喆"}, {"喆"}]
+
+
 def test_find_garbled_edges(spark):
     good = "致密砂岩储层渗流特征研究"
     bad = good.encode().decode("latin-1")
