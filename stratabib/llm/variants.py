@@ -20,7 +20,6 @@ from stratabib.llm.mojibake import Searcher
 from stratabib.llm.orgnames import Profiles, name_and_hints
 from stratabib.runtime import stage
 
-MAX_ROUNDS = 6
 #: A new spelling is merged if this many mentions agree on its profile, and this share of those that have it. Spellings
 #: below SUPPORT of all mentions are matched, not merged: at most 1 / SUPPORT spellings are ever held in the profiles.
 MIN_COUNT, AGREEMENT, SUPPORT = 2, 0.8, 1e-5
@@ -101,7 +100,7 @@ def learn_profiles(records: DataFrame, rules: DataFrame, column: str = "institut
     places = counted.filter("kind = 'hint' and length(text) > 2").groupBy("text").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).join(words, F.col("text") == F.col("w")).filter(F.col("m") >= least)
     profiles.foreign = {r["text"]: r["n"] for r in places.select("text", "n").collect() if r["text"] not in profiles.place_en}
     forms = counted.filter("kind = 'form'").select("text", "hint", "n")
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round adds spellings of the table or is the last
         found = stage(forms.mapInArrow(_matcher(profiles), "text string, hint string, n bigint, place string, kind string, new_kind string, new_place string"), "org-round").df
         if not profiles.merge(_agreed(found, "new_kind", "kind", least), _agreed(found, "new_place", "place", least)):
             break

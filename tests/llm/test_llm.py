@@ -481,3 +481,11 @@ def test_link_organisations(spark):
     got = sorted(map(tuple, variants.link_organisations(df, rules).collect()))
     assert got == sorted([(1, "奥斯伯里石油大学"), (2, "宕林海洋学院"), (2, "宕林海洋学院"), (2, "岚浦石油大学"), (2, "岚浦石油大学"), (7, "岚浦海洋学院"), (8, "岚浦海洋学院")])
     assert variants.link_organisations(df.limit(0), rules).count() == 0 and variants.link_organisations(df, rules.limit(0)).count() == 0
+
+
+def test_rounds_go_on_until_nothing_merges(spark, monkeypatch):
+    rules = spark.createDataFrame([(i, *r[:3], "x", r[3]) for i, r in enumerate(RULES)], "rule_id bigint, `机构原始名称` string, `机构译名` string, `机构标准名` string, `规则来源` string, `备注` string")
+    left = [1] * 8 + [0]
+    monkeypatch.setattr(Profiles, "merge", lambda self, kinds, places: left.pop(0))
+    variants.learn_profiles(spark.createDataFrame([(1, "宕林海院；岚浦石油大学")], "rec_id bigint, institution string"), rules)
+    assert left == []
