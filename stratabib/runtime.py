@@ -14,6 +14,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Data frames whose estimated size is under this many bytes may be broadcast or collected.
 BROADCAST_BOUND = 64 * 1024 * 1024
@@ -55,6 +56,15 @@ def stage(df: DataFrame, name: str) -> Staged:
     return Staged(spark, path)
 
 
+#: A table of up to this many short rows may be broadcast.
+SMALL = 200_000
+
+
+def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
+    """``df`` (short rows, read from a staged table) marked for broadcast if it is counted to have at most ``bound`` rows."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 _shipped: set[str] = set()
 
 
