@@ -15,8 +15,11 @@ from zoneinfo import ZoneInfo
 
 Reading = tuple[str, str, float, float]
 
-#: Departing from the declared order of slashed dates, or from the usual reading of a bare number.
-AGAINST_DECLARED = 50.0
+#: Departing from the declared order of slashed dates: less than two format switches, so that neighbours on both sides
+#: that can only be read in another order outvote the declaration.
+OTHER_ORDER = 0.7
+#: Departing from the usual reading of a bare number.
+UNUSUAL = 3.0
 #: A year other than the one stated in the record.
 OTHER_YEAR = 2.0
 #: The second of the two instants that one local time names when clocks go back.
@@ -70,12 +73,14 @@ def stated_year(value: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-@lru_cache(maxsize=4096)
 def _names(shape: str) -> tuple[int, ...]:
     """Patterns that match a value with all digits replaced by 1: digits never decide which match."""
     return tuple(i for i, (_, pattern) in enumerate(PATTERNS) if pattern.fullmatch(shape))
 
 
+_names_of_short = lru_cache(maxsize=4096)(_names)
+
+
 @lru_cache(maxsize=64)
 def _zone(name: str) -> ZoneInfo | None:
     try:
@@ -166,14 +171,14 @@ def _number(n: str, zone_name: str | None) -> list[Reading]:
     if size == 4:
         return _yearly("year", value, 0.0) if value >= 1000 else []
     if size == 5:
-        for name, start, cost in (("serial", date(1899, 12, 30), 0.0), ("serial1904", date(1904, 1, 1), AGAINST_DECLARED)):
+        for name, start, cost in (("serial", date(1899, 12, 30), 0.0), ("serial1904", date(1904, 1, 1), UNUSUAL)):
             day = start + timedelta(days=value)
             if _plausible(day.year):
                 out.append((name, day.isoformat(), float(day.toordinal()), cost))
     if size == 6 and _plausible(int(n[:4])) and 1 <= int(n[4:]) <= 12:
         out += _monthly("yyyymm", int(n[:4]), int(n[4:]), 0.0)
     if size == 6:
-        out += _dated("yymmdd", 2000 + int(n[:2]), int(n[2:4]), int(n[4:]), {}, zone_name, AGAINST_DECLARED if out else 0.0)
+        out += _dated("yymmdd", 2000 + int(n[:2]), int(n[2:4]), int(n[4:]), {}, zone_name, UNUSUAL if out else 0.0)
     if size in (8, 12, 14, 17) and _plausible(int(n[:4])):
         clock = {"H": n[8:10], "M": n[10:12], "S": n[12:14]} if size > 8 else {}
         out += _dated(f"digits{size}", int(n[:4]), int(n[4:6]), int(n[6:8]), clock, zone_name, 0.0)
@@ -181,11 +186,11 @@ def _number(n: str, zone_name: str | None) -> list[Reading]:
             out += _monthly("digits8", int(n[:4]), int(n[4:6]), 0.0)
     if size == 8 and _plausible(int(n[4:])):
         for name, d, m in (("ddmmyyyy", n[:2], n[2:4]), ("mmddyyyy", n[2:4], n[:2])):
-            out += _dated(name, int(n[4:]), int(m), int(d), {}, zone_name, AGAINST_DECLARED)
+            out += _dated(name, int(n[4:]), int(m), int(d), {}, zone_name, UNUSUAL)
     if size in (9, 10):
         out += _epoch("seconds", value, 0.0)
     if size == 10 and _plausible(int(n[:4])):
-        out += _dated("digits10", int(n[:4]), int(n[4:6]), int(n[6:8]), {"H": n[8:], "M": "00", "S": "00"}, zone_name, AGAINST_DECLARED)
+        out += _dated("digits10", int(n[:4]), int(n[4:6]), int(n[6:8]), {"H": n[8:], "M": "00", "S": "00"}, zone_name, UNUSUAL)
     for digits, name, unit in ((13, "millis", 1e3), (16, "micros", 1e6), (19, "nanos", 1e9)):
         if size == digits:
             out += _epoch(name, value // int(unit), 0.0)
@@ -204,9 +209,9 @@ def _slashed(g: dict, order: str | None, zone_name: str | None) -> list[Reading]
         if kind == "ymd" and len(g["c"]) == 4:
             continue
         y = int(part["y"]) + (2000 if len(part["y"]) <= 2 else 0)
-        out += _dated(f"slash-{kind}", y, int(part["m"]), int(part["d"]), g, zone_name, 0.0 if kind == declared else AGAINST_DECLARED)
+        out += _dated(f"slash-{kind}", y, int(part["m"]), int(part["d"]), g, zone_name, 0.0 if kind == declared or declared is None else OTHER_ORDER)
     if len(g["c"]) == 4 and declared == "ymd" and out:  # a four-digit year last can't follow it: the order stays open
-        out = [(f, n, t, c - AGAINST_DECLARED) for f, n, t, c in out]
+        out = [(f, n, t, c - OTHER_ORDER) for f, n, t, c in out]
     return out
 
 
@@ -220,12 +225,13 @@ def readings(value: str | None, year: str | None = None, zone_name: str | None =
     if value is None:
         return []
     text = unicodedata.normalize("NFKC", value).strip()
-    if not text or len(text) > 64:
+    if not text:
         return []
     text = _FLOATED.sub("", text)
     stated = stated_year(year)
     out: list[Reading] = []
-    for i in _names(_DIGIT.sub("1", text)):
+    shape = _DIGIT.sub("1", text)
+    for i in _names_of_short(shape) if len(shape) <= 64 else _names(shape):
         name, pattern = PATTERNS[i]
         g = pattern.fullmatch(text)
         if g is None:

@@ -4,11 +4,10 @@ Every value becomes an array of all its valid readings. Which reading holds is d
 over each source's record order: a path pays the readings' own costs, and for each step a penalty if
 the format switches and one if time jumps back.
 
-The chain of a source is never gathered as a whole. A reading dearer than the cheapest of its record
-by more than twice the largest step penalty can't lie on the best path, as a record takes part in
-two steps; such readings are dropped first. A record left with one reading separates the chain, so
-blocks of the order are cut at these records and solved apart, with the same result as one long pass.
-Only where a whole block has no such record is the chain cut at the block's start.
+The chain of a source is never gathered as a whole. Records are ranged by (source, id) into blocks of about
+equal size. A first pass gives, for every block, the least cost from each reading of its first record to each
+reading of its last; these small matrices are chained per source, which settles the first and last reading of
+every block; a second pass fills in the blocks. The result is that of one long pass, however ids are spread.
 """
 
 from __future__ import annotations
@@ -23,8 +22,8 @@ from stratabib.functions.dates import readings
 from stratabib.runtime import stage
 
 SWITCH, BACKWARD = 0.4, 0.2
-#: Width of a block of record ids.
-BLOCK = 4096
+#: Records of a block at least, and blocks at most: each gives one row of a few numbers to the driver.
+BLOCK, BLOCKS = 50_000, 20_000
 
 _CANDIDATES = pa.schema(
     [("_id", pa.int64()), ("_source", pa.string()), ("_raw", pa.string()), ("_fmt", pa.list_(pa.string())), ("_norm", pa.list_(pa.string())), ("_day", pa.list_(pa.float64())), ("_cost", pa.list_(pa.float64()))]
@@ -48,34 +47,90 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _CANDIDATES.types)], schema=_CANDIDATES)
 
 
+def _step(so_far: list[float], fmts, days, next_fmts, next_days, next_costs) -> tuple[list[int], list[float]]:
+    """Where the cheapest way to each next reading comes from, and its cost; ties go to the earlier reading."""
+    back, total = [], []
+    for f, d, c in zip(next_fmts, next_days, next_costs):
+        ways = [so_far[j] + SWITCH * (fmts[j] != f) + BACKWARD * (days[j] > d) for j in range(len(so_far))]
+        j = min(range(len(ways)), key=ways.__getitem__)
+        back.append(j)
+        total.append(ways[j] + c)
+    return back, total
+
+
 def best_path(fmts: list[list[str]], days: list[list[float]], costs: list[list[float]]) -> list[int]:
     """Indices of the cheapest path through a chain of readings; ties go to the earlier reading."""
+    if not costs:
+        return []
     back: list[list[int]] = []
-    so_far = list(costs[0]) if costs else []
+    so_far = list(costs[0])
     for i in range(1, len(costs)):
-        step, total = [], []
-        for f, d, c in zip(fmts[i], days[i], costs[i]):
-            ways = [so_far[j] + SWITCH * (fmts[i - 1][j] != f) + BACKWARD * (days[i - 1][j] > d) for j in range(len(so_far))]
-            j = min(range(len(ways)), key=ways.__getitem__)
-            step.append(j)
-            total.append(ways[j] + c)
+        step, so_far = _step(so_far, fmts[i - 1], days[i - 1], fmts[i], days[i], costs[i])
         back.append(step)
-        so_far = total
-    if not costs:
-        return []
     path = [min(range(len(so_far)), key=so_far.__getitem__)]
     for step in reversed(back):
         path.append(step[path[-1]])
     return path[::-1]
 
 
-def _solve(pdf):
-    """Readings chosen in one stretch of a source's order; a stretch begins and ends at settled records."""
+_BORDERS_DDL = "_source string, _block int, first_fmt array<string>, first_day array<double>, last_fmt array<string>, last_day array<double>, cost array<double>"
+
+
+def _lists(pdf):
     pdf = pdf.sort_values(["_id", "_raw"], kind="stable")
-    choice = best_path([list(x) for x in pdf["_fmt"]], [list(x) for x in pdf["_day"]], [list(x) for x in pdf["_cost"]])
+    return pdf, [list(x) for x in pdf["_fmt"]], [list(x) for x in pdf["_day"]], [list(x) for x in pdf["_cost"]]
+
+
+def _borders(pdf):
+    """Least cost of a block from each reading of its first record to each of its last, first by first."""
+    import pandas as pd
+
+    pdf, fmts, days, costs = _lists(pdf)
+    cost: list[float] = []
+    for k, c in enumerate(costs[0]):
+        so_far = [c if j == k else float("inf") for j in range(len(costs[0]))]
+        for i in range(1, len(costs)):
+            so_far = _step(so_far, fmts[i - 1], days[i - 1], fmts[i], days[i], costs[i])[1]
+        cost += so_far
+    row = (pdf["_source"].iloc[0], int(pdf["_block"].iloc[0]), fmts[0], days[0], fmts[-1], days[-1], cost)
+    return pd.DataFrame([row], columns=["_source", "_block", "first_fmt", "first_day", "last_fmt", "last_day", "cost"])
+
+
+def chained(blocks: list) -> list[tuple[int, int]]:
+    """First and last reading of each block of a source, given in order, on the cheapest path through them all."""
+    back, so_far = [], [0.0]
+    fmts, days = [""], [float("-inf")]
+    for n, b in enumerate(blocks):
+        size = len(b["last_fmt"])
+        if n:
+            step, total = _step(so_far, fmts, days, b["first_fmt"], b["first_day"], [0.0] * len(b["first_fmt"]))
+        else:
+            step, total = [0] * len(b["first_fmt"]), [0.0] * len(b["first_fmt"])
+        froms, ends = [], []
+        for last in range(size):
+            ways = [total[f] + b["cost"][f * size + last] for f in range(len(total))]
+            f = min(range(len(ways)), key=ways.__getitem__)
+            froms.append((f, step[f]))
+            ends.append(ways[f])
+        back.append(froms)
+        so_far, fmts, days = ends, b["last_fmt"], b["last_day"]
+    out: list[tuple[int, int]] = []
+    last = min(range(len(so_far)), key=so_far.__getitem__) if blocks else 0
+    for froms in reversed(back):
+        first, before = froms[last]
+        out.append((first, last))
+        last = before
+    return out[::-1]
+
+
+def _fill(pdf):
+    """Readings of a block's records, its first and last reading given."""
+    pdf, fmts, days, costs = _lists(pdf)
+    for i, k in ((0, int(pdf["_first"].iloc[0])), (len(costs) - 1, int(pdf["_last"].iloc[0]))):
+        costs[i] = [c if j == k else float("inf") for j, c in enumerate(costs[i])]
+    choice = best_path(fmts, days, costs)
     pdf["_chosen"] = [n[k] for n, k in zip(pdf["_norm"], choice)]
     pdf["_format"] = [n[k] for n, k in zip(pdf["_fmt"], choice)]
-    pdf = pdf[(pdf["_open"]) & (~pdf["_edge"])]
     return pdf[["_id", "_source", "_raw", "_chosen", "_format"]]
 
 
@@ -85,8 +140,8 @@ def normalise_timestamps(
     """One row ``(id_col, source, raw, publish_norm, format)`` per record whose value states at least a year.
 
     ``feed`` holds ``source_db, zone_name, slash_order``; the first row by ``slash_order`` counts if a
-    source has several. Missing values (NULL, '', ``nan``), placeholders, words and values longer than 64
-    characters have no reading and no row. Sources without a feed row are read as UTC with any slash order.
+    source has several. Missing values (NULL, '', ``nan``), placeholders, words and long texts
+    have no reading and no row. Sources without a feed row are read as UTC with any slash order.
     Equal ids are kept as separate rows; ties between readings go to the cheaper, then the earlier one.
     Empty tables give an empty result. Other columns, whatever their names, are not read.
     """
@@ -97,19 +152,17 @@ def normalise_timestamps(
     rows = rows.join(feed, rows["_source"] == feed["_s"], "left").select("_id", "_source", "_raw", "_year", "_f.zone_name", "_f.slash_order")
     read = stage(rows.mapInArrow(_read, _CANDIDATES_DDL), "date-readings").df
 
-    read = read.withColumns({"_block": F.floor(F.col("_id") / BLOCK), "_open": F.size("_norm") > 1})
-    settled = read.filter("not _open").select("_id", "_source", "_raw", F.col("_norm")[0].alias("_chosen"), F.col("_fmt")[0].alias("_format"))
-
-    # only blocks that hold an open record, and their neighbours' borders, are shuffled
-    source_key = F.coalesce("_source", F.lit(""))
-    blocks = read.groupBy(source_key.alias("_k"), "_block").agg(F.min(F.when(~F.col("_open"), F.col("_id"))).alias("_first"), F.max("_open").alias("_any"))
-    before = blocks.select(F.col("_k").alias("_pk"), (F.col("_block") + 1).alias("_next"), F.col("_first").isNotNull().alias("_joined"))
-    blocks = blocks.join(before, (F.col("_k") == F.col("_pk")) & (F.col("_block") == F.col("_next")), "left").select("_k", "_block", "_first", "_any", F.coalesce("_joined", F.lit(False)).alias("_joined"))
-    placed = read.withColumn("_k", source_key).join(blocks, ["_k", "_block"])
-    head = F.col("_joined") & (F.col("_first").isNull() | (F.col("_id") < F.col("_first")))
-    own = placed.withColumns({"_part": F.when(head, F.col("_block") - 1).otherwise(F.col("_block")), "_edge": F.lit(False)})
-    edge = placed.filter("_joined and _id = _first and not _open").withColumns({"_part": F.col("_block") - 1, "_edge": F.lit(True)})
-    stretch = own.unionByName(edge)
-    wanted = stretch.filter("_open").select("_k", "_part").distinct()
-    solved = stretch.join(wanted, ["_k", "_part"], "left_semi").groupBy("_k", "_part").applyInPandas(_solve, "_id bigint, _source string, _raw string, _chosen string, _format string")
-    return settled.unionByName(solved).select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_raw").alias("raw"), F.col("_chosen").alias("publish_norm"), F.col("_format").alias("format"))
+    total = read.count()
+    n = max(1, min(BLOCKS, -(-total // BLOCK)))
+    ranged = read.withColumn("_source", F.coalesce("_source", F.lit(""))).repartitionByRange(n, "_source", "_id", "_raw")
+    placed = stage(ranged.withColumn("_block", F.spark_partition_id()), "date-order").df
+    # a block without an open record needs no second pass, but its borders take part in the chain
+    borders = placed.groupBy("_source", "_block").applyInPandas(_borders, _BORDERS_DDL).collect()
+    of: dict[str, list] = {}
+    for b in sorted(borders, key=lambda b: (b["_source"], b["_block"])):
+        of.setdefault(b["_source"], []).append(b)
+    fixed = [(source, b["_block"], first, last) for source, blocks in of.items() for b, (first, last) in zip(blocks, chained(blocks))]
+    kinds = (("_source", pa.string()), ("_block", pa.int32()), ("_first", pa.int32()), ("_last", pa.int32()))
+    ends = df.sparkSession.createDataFrame(pa.table({name: pa.array([f[i] for f in fixed], kind) for i, (name, kind) in enumerate(kinds)}))
+    solved = placed.join(F.broadcast(ends), ["_source", "_block"]).groupBy("_source", "_block").applyInPandas(_fill, "_id bigint, _source string, _raw string, _chosen string, _format string")
+    return solved.select(F.col("_id").alias(id_col), F.when(F.col("_source") != "", F.col("_source")).alias(source_col), F.col("_raw").alias("raw"), F.col("_chosen").alias("publish_norm"), F.col("_format").alias("format"))

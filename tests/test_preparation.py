@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from stratabib.functions.dates import readings
 from stratabib.functions.packed import automaton, split_packed
 from stratabib.operators.packed_values import known_values, split_fields
+from stratabib.operators import timestamps
 from stratabib.operators.timestamps import BACKWARD, SWITCH, best_path, normalise_timestamps
 
 KNOWN = automaton(["n-alkanes, C15+", "1,2-dichloroethane"])
@@ -122,13 +123,26 @@ def test_timestamps_edges(spark):
     assert normalise_timestamps(df.limit(0), feed).count() == 0
 
 
-def test_open_records_meet_their_neighbours_across_blocks(spark):
-    """Blocks give the same choice as one pass over the whole order."""
-    feed = spark.createDataFrame([("S", "Europe/Berlin", "DMY")], "source_db string, zone_name string, slash_order string")
-    ids = [4090, 4094, 4095, 4096, 4097, 4100, 9000]
-    values = ["2021-10-31 02:10:00", "2021-10-31 01:59:00", "2021-10-31 02:30:00", "2021-10-31 02:20:00", "2021-10-31 02:50:00", "2021-11-01", "2021-10-31 02:40:00"]
+@pytest.mark.parametrize("spread", [1, 7_919])
+def test_blocks_give_one_long_pass(spark, monkeypatch, spread):
+    """Blocks of a few records, however far apart ids lie, give the choice of one pass over the whole order."""
+    monkeypatch.setattr(timestamps, "BLOCK", 3)
+    feed = spark.createDataFrame([("S", "Europe/Berlin", None)], "source_db string, zone_name string, slash_order string")
+    rng = random.Random(5)
+    ids, written = [spread * i for i in range(40)], ("{0:02d}/{1:02d}/2021", "2021-10-31 02:{0:02d}:00", "2021-{0:02d}-{1:02d}", "{1:02d}/25/2021", "25/{0:02d}/2021")
+    values = [rng.choice(written).format(rng.randint(1, 12), rng.randint(1, 12)) for _ in ids]
     df = spark.createDataFrame([(i, v, None, "S") for i, v in zip(ids, values)], "rec_id bigint, publish_date string, year string, source_db string")
     got = {r["rec_id"]: r["publish_norm"] for r in normalise_timestamps(df, feed).collect()}
-    found = [readings(v, None, *FEED) for v in values]
+    found = [readings(v, None, "Europe/Berlin", None) for v in values]
     choice = best_path([[r[0] for r in f] for f in found], [[r[2] for r in f] for f in found], [[r[3] for r in f] for f in found])
-    assert got == {i: f[k][1] for i, f, k in zip(ids, found, choice)}
+    assert got == {i: f[k][1] for i, f, k in zip(ids, found, choice)} and any(len(f) > 1 for f in found)
+
+
+def test_neighbours_outvote_a_wrong_declaration(spark):
+    """Day first is declared, the records around can only be read month first: with the penalties off the answer differs."""
+    feed = spark.createDataFrame([("S", None, "DMY")], "source_db string, zone_name string, slash_order string")
+    df = spark.createDataFrame([(1, "03/25/2020", None, "S"), (2, "04/05/2020", None, "S"), (3, "04/28/2020", None, "S")], "rec_id bigint, publish_date string, year string, source_db string")
+    run = lambda: {r["rec_id"]: r["publish_norm"] for r in normalise_timestamps(df, feed).collect()}
+    assert run()[2] == "2020-04-05"
+    found = [readings(v, None, None, "DMY") for v in ("03/25/2020", "04/05/2020", "04/28/2020")]
+    assert found[1][0][1] == "2020-05-04"  # the cheapest reading by itself
