@@ -9,7 +9,7 @@ from stratabib.llm.leakage import find_leaks
 from stratabib.llm.linkage import link_records
 from stratabib.llm.mixing import mix_sources
 from stratabib.llm.mojibake import find_garbled
-from stratabib.llm.survivors import survivors
+from stratabib.llm.survivors import survivors, surviving_records
 from stratabib.llm.truncation import find_truncated
 from stratabib.llm.variants import link_organisations
 from stratabib.runtime import stage, table
@@ -41,10 +41,7 @@ def p5_found(spark, sf_dir):
 
 def p5_record(spark, sf_dir):
     """One surviving record per group, with the layer each field came from."""
-    picked = _survivors(spark, sf_dir)
-    names = ["abstract_en", "cited_count", "title_cn"]
-    of = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
-    return picked.groupBy("group_id").agg(*(of(f, "value").alias(f) for f in names), *(of(f, "layer").alias(f"{f}_layer") for f in names))
+    return surviving_records(table(spark, sf_dir, KEYED), _survivors(spark, sf_dir))
 
 
 def p6_found(spark, sf_dir):

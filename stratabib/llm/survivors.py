@@ -1,12 +1,13 @@
 """Best representative of each duplicate group, field by field, by skyline selection.
 
-Every value of a group is a point in completeness, trust and recency. Points that no other point beats in all
-three are the first layer; a lexicographic policy (complete, then trusted, then recent) picks from it, and what
-it leaves empty is filled from the next layers.
-
-A group is never gathered. Rows with the same value of a field are combined first, keeping the best row; what a
-value is worth is judged once per distinct value; and of one completeness and trust only the latest is kept, as
-it dominates the others. So at most 3 points per trust rank remain of a group, however many copies it has.
+Every record of a group is a point in completeness (which fields it holds whole), trust and recency. A record is
+dominated if another holds at least the same fields, is trusted at least as much and is as recent, and is better in
+one of them. From the first layer, the undominated records, a lexicographic policy (most trusted, then most recent)
+picks the record that gives its fields. What it leaves empty is filled from the next layer: the records undominated in
+the fields still empty; and so on until nothing can be filled. Values cut short fill what no whole value does.
+
+A group is never gathered. Of the records that hold the same fields and are trusted alike only the latest is kept, as it
+dominates the others, combined before the shuffle; so a group comes down to at most 4 ** fields points per trust rank.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from stratabib.llm import charmodel
 from stratabib.llm.mojibake import Searcher
 from stratabib.llm.truncation import ending
-from stratabib.runtime import stage
+from stratabib.runtime import small, stage
 
 #: Written in place of a value (fixed values), compared in lower case.
 PLACEHOLDERS = {
@@ -30,20 +31,22 @@ PLACEHOLDERS = {
     "无", "缺", "暂无", "未知", "未统计", "（题名缺失）", "(题名缺失)", "（摘要缺失）", "no abstract available.", "no abstract available",
     "abstract not supplied", "abstract pending", "see full text", "not available",
 }
-#: A short text standing in this share of all groups is a placeholder too: a title or abstract belongs to one group or a few.
-SHARED, SHORT = 0.002, 40
 COUNT = re.compile(r"\+?(?:\d{1,3}(?:[,，]\d{3})+|\d+)(?:\.\d+)?")
 
 WHOLE, CUT, UNUSABLE = 2, 1, 0
 FIELDS = {"abstract_en": "prose", "cited_count": "count", "title_cn": "title"}
 
 
-def _judge(kinds: dict[str, str], costs: dict[str, float]):
-    """Grade of each distinct value, apart from what only its neighbours show."""
-    schema = pa.schema([("field_name", pa.string()), ("_value", pa.string()), ("_grade", pa.int32())])
+_TAIL = re.compile(r"[\s.…]+$")
+_GRADED_DDL = "_g bigint, _id bigint, _trust int, _at timestamp, _grades array<int>, _stems array<string>"
+
+
+def _grader(kinds: list[str], costs: dict[str, float]):
+    """Grade of each value, apart from what only its neighbours show, and the stems of readable texts."""
+    schema = pa.schema([("_g", pa.int64()), ("_id", pa.int64()), ("_trust", pa.int32()), ("_at", pa.timestamp("us", tz="UTC")), ("_grades", pa.list_(pa.int32())), ("_stems", pa.list_(pa.string()))])
 
-    def grade(kind: str, value: str, searcher: Searcher) -> int:
-        text = value.strip()
+    def grade(kind: str, value: str | None, searcher: Searcher) -> int:
+        text = (value or "").strip()
         if text.lower() in PLACEHOLDERS:
             return UNUSABLE
         if kind == "count":
@@ -59,74 +62,125 @@ def _judge(kinds: dict[str, str], costs: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(costs)
         for batch in batches:
-            names, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            grades = [grade(kinds[n], v, searcher) for n, v in zip(names, values)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.string()), pa.array(grades, pa.int32())], schema=schema)
+            columns = [c.to_pylist() for c in batch.columns[4:]]
+            grades = [[grade(k, v, searcher) for k, v in zip(kinds, row)] for row in zip(*columns)]
+            stems = [[_TAIL.sub("", v) if g > UNUSABLE and k != "count" else None for k, v, g in zip(kinds, row, of)] for row, of in zip(zip(*columns), grades)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(schema.field(i).type) for i in range(4)), pa.array(grades, schema.field(4).type), pa.array(stems, schema.field(5).type)], schema=schema)
 
     return run
 
 
-def _cells(rows: DataFrame, groups: DataFrame, feed: DataFrame, fields: dict[str, str], id_col: str) -> DataFrame:
-    """Per group, field, completeness and trust the latest row that has such a value."""
-    trust = feed.groupBy(F.col("source_db").alias("_s")).agg(F.min("trust_rank").cast("int").alias("_trust"))
-    stacked = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("_value")) for f in fields))).alias("_e")
-    base = rows.select(F.col(id_col).cast("bigint").alias("_id"), F.col("source_db").alias("_s"), F.col("harvested_at").alias("_at"), stacked).filter("_e._value is not null and trim(_e._value) <> ''")
-    members = groups.select(F.col(id_col).alias("_id"), F.col("group_id").alias("_g"))
-    long = base.join(members, "_id").join(F.broadcast(trust), "_s", "left").select("_g", "_id", "_at", "_e.field_name", "_e._value", F.coalesce("_trust", F.lit(2**31 - 1)).alias("_trust"))
-    # one row per distinct value and trust of a group: copies combine before the shuffle
-    best = F.max(F.struct("_at", (-F.col("_id")).alias("_neg"))).alias("_best")
-    values = stage(long.groupBy("_g", "field_name", "_value", "_trust").agg(best), "field-values").df
+_NEXT_DDL = "what int, _part int, _g bigint, _f int, _stem string"
+_BEGUN, _FIRST, _LAST = 0, 1, 2
 
-    texts = [f for f in fields if fields[f] != "count"]
-    model = charmodel.costs(charmodel.character_counts(rows, texts)) if texts else {}
-    distinct = values.select("_g", "field_name", "_value").distinct()
-    n_groups = members.select("_g").distinct().count()
-    spread = distinct.filter(F.length("_value") <= SHORT).groupBy("field_name", "_value").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max(5, SHARED * n_groups))
-    # at most (values a group) / SHARED of them
-    shared = spread.filter(~F.col("field_name").isin([f for f in fields if fields[f] == "count"])).select("field_name", "_value", F.lit(True).alias("_shared"))
-    graded = distinct.select("field_name", "_value").distinct().mapInArrow(_judge(fields, model), "field_name string, _value string, _grade int")
-    graded = graded.join(F.broadcast(shared), ["field_name", "_value"], "left").withColumn("_grade", F.when(F.col("_shared"), UNUSABLE).otherwise(F.col("_grade"))).drop("_shared")
-    judged = stage(values.join(graded, ["field_name", "_value"]), "graded-values").df
-    # among sorted values of a group, one that begins another begins its successor
-    readable = judged.filter(F.col("_grade") > UNUSABLE).select("_g", "field_name", "_value").distinct()
-    readable = readable.filter(~F.col("field_name").isin([f for f in fields if fields[f] == "count"])).withColumn("_stem", F.regexp_replace("_value", r"[\s.…]+$", ""))
-    stems = readable.select("_g", "field_name", "_stem").distinct().withColumn("_head", F.substring("_stem", 1, 2))
-    after = F.lead("_stem").over(W.partitionBy("_g", "field_name", "_head").orderBy("_stem"))
-    begun = stems.withColumn("_next", after).filter(F.col("_next").startswith(F.col("_stem")) | (F.length("_stem") < 2))
-    begun = readable.join(begun.select("_g", "field_name", "_stem"), ["_g", "field_name", "_stem"])
-    judged = judged.join(begun.select("_g", "field_name", "_value", F.lit(True).alias("_begun")), ["_g", "field_name", "_value"], "left")
-    judged = judged.withColumn("_grade", F.when(F.col("_begun") & (F.col("_grade") == WHOLE), CUT).otherwise(F.col("_grade")))
-    return judged.groupBy("_g", "field_name", "_grade", "_trust").agg(F.max(F.struct("_best", "_value")).alias("_top"))
-
-
-def survivors(rows: DataFrame, groups: DataFrame, feed: DataFrame, fields: dict[str, str] | None = None, id_col: str = "row_id", layers: int = 3) -> DataFrame:
-    """``(group_id, field_name, row_id, value, grade, layer)``: the value that survives of each field of each group.
+
+def _begins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted stems those that begin their successor, and the first and last of the partition."""
+    schema = pa.schema([("what", pa.int32()), ("_part", pa.int32()), ("_g", pa.int64()), ("_f", pa.int32()), ("_stem", pa.string())])
+    before = None
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if before is None:
+                out.append((_FIRST, *row))
+            elif before[1:3] == row[1:3] and row[3].startswith(before[3]) and row[3] != before[3]:
+                out.append((_BEGUN, *before))
+            before = row
+        columns = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
+    if before is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((_LAST, *before), schema.types)], schema=schema)
+
+
+def _beginnings(graded: DataFrame) -> DataFrame:
+    """``(_g, _f, _h)`` of stems that begin a longer one of the same group and field.
+
+    Among sorted stems one that begins another begins its successor, so each is held against one neighbour; a group may
+    lie over many partitions, whose borders (two rows each) are compared apart.
+    """
+    stems = graded.select("_g", F.posexplode("_stems").alias("_f", "_stem")).filter("_stem is not null").distinct()
+    ranged = stems.repartitionByRange("_g", "_f", "_stem").sortWithinPartitions("_g", "_f", "_stem").select(F.spark_partition_id().alias("_part"), "_g", "_f", "_stem")
+    found = stage(ranged.mapInArrow(_begins, _NEXT_DDL), "stem-order").df
+    borders = found.filter(F.col("what") > _BEGUN).select("what", "_part", "_g", "_f", "_stem", F.lead(F.struct("_g", "_f", "_stem")).over(W.orderBy("_part", "what")).alias("_next"))
+    over = borders.filter((F.col("what") == _LAST) & (F.col("_next._g") == F.col("_g")) & (F.col("_next._f") == F.col("_f")) & F.col("_next._stem").startswith(F.col("_stem")) & (F.col("_next._stem") != F.col("_stem")))
+    begun = found.filter(F.col("what") == _BEGUN).select("_g", "_f", "_stem").unionByName(over.select("_g", "_f", "_stem"))
+    return stage(begun.select("_g", "_f", F.xxhash64("_stem").alias("_h")), "stems-begun").df
+
+
+def choose(points: list[tuple[int, int, int, float, int]], n: int) -> dict[int, tuple[int, int, int]]:
+    """Per field (row, grade, layer) from points (whole, readable, trust rank, time, row); the masks have a bit per field."""
+    out: dict[int, tuple[int, int, int]] = {}
+    layer = 0
+    for at, grade in ((0, WHOLE), (1, CUT)):
+        empty = sum(1 << f for f in range(n) if f not in out)
+        while able := [p for p in points if p[at] & empty]:
+            layer += 1
+            front = [p for p in able if not any(_dominates(q, p, at, empty) for q in able)]
+            pick = min(front, key=lambda p: (p[2], -p[3], p[4]))  # policy: trusted, then recent, then the smaller id
+            for f in range(n):
+                if pick[at] & empty & (1 << f):
+                    out[f] = (pick[4], grade, layer)
+            empty &= ~pick[at]
+    return out
+
+
+def _dominates(q, p, at: int, empty: int) -> bool:
+    a, b = q[at] & empty, p[at] & empty
+    return a & b == b and q[2] <= p[2] and q[3] >= p[3] and (a != b or q[2] < p[2] or q[3] > p[3])
+
+
+def _chooser(names: list[str]):
+    schema = pa.schema([("group_id", pa.int64()), ("field_name", pa.string()), ("_row", pa.int64()), ("grade", pa.int32()), ("layer", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for group, points in zip(*(c.to_pylist() for c in batch.columns)):
+                for f, chosen in choose([(p["w"], p["r"], p["t"], p["at"], p["id"]) for p in points], len(names)).items():
+                    out.append((group, names[f], *chosen))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return run
+
+
+def survivors(rows: DataFrame, groups: DataFrame, feed: DataFrame, fields: dict[str, str] | None = None, id_col: str = "row_id") -> DataFrame:
+    """``(group_id, field_name, row_id, grade, layer)``: the row whose value survives for each field of each group.
 
     ``groups`` gives ``(id_col, group_id)``; ``feed`` gives ``source_db, trust_rank``; ``fields`` maps columns to prose,
     title or count. Grade 2 is whole and readable, 1 cut short; a field none of whose values is readable has no
-    row. A source without a rank is trusted least. Equal dates go to the smaller id. NULL dates count as oldest.
-    Empty tables give an empty result; other columns are not read.
+    row. ``layer`` counts the layers drawn on. A source without a rank is trusted least. Equal dates go to the smaller id.
+    NULL dates count as oldest. Empty tables give an empty result; other columns are not read.
     """
     fields = fields or FIELDS
-    cells = _cells(rows, groups, feed, fields, id_col)
-    points = cells.groupBy("_g", "field_name").agg(F.collect_list(F.struct(F.col("_grade").alias("grade"), (-F.col("_trust")).alias("trust"), F.col("_top._best._at").alias("at"), F.col("_top._best._neg").alias("neg"), F.col("_top._value").alias("value"))).alias("_left"))
-    points = points.withColumn("_pick", F.lit(None).cast("struct<grade:int,trust:int,at:timestamp,neg:bigint,value:string>")).withColumn("_layer", F.lit(None).cast("int"))
-
-    def floor_time(c):
-        return F.coalesce(c, F.lit("0001-01-01").cast("timestamp"))
-
-    for k in range(1, layers + 1):
-        def dominated(c):
-            def beats(d):
-                least = (d["grade"] >= c["grade"]) & (d["trust"] >= c["trust"]) & (floor_time(d["at"]) >= floor_time(c["at"]))
-                return least & ((d["grade"] > c["grade"]) | (d["trust"] > c["trust"]) | (floor_time(d["at"]) > floor_time(c["at"])))
-            return F.exists("_left", beats)
-
-        points = points.withColumn("_layer_now", F.filter("_left", lambda c: ~dominated(c)))
-        usable = F.filter("_layer_now", lambda c: c["grade"] > UNUSABLE)
-        # policy: the greatest by (grade, trust, date, smaller id)
-        points = points.withColumn("_first", F.array_max(usable))
-        take = F.col("_pick").isNull() & F.col("_first").isNotNull()
-        points = points.withColumns({"_layer": F.when(take, F.lit(k)).otherwise(F.col("_layer")), "_pick": F.coalesce("_pick", "_first")})
-        points = points.withColumn("_left", F.array_except("_left", "_layer_now"))
-    return points.filter("_pick is not null").select(F.col("_g").alias("group_id"), "field_name", (-F.col("_pick.neg")).alias(id_col), F.col("_pick.value").alias("value"), F.col("_pick.grade").alias("grade"), F.col("_layer").alias("layer"))
+    names, kinds = list(fields), list(fields.values())
+    texts = [f for f in names if fields[f] != "count"]
+    model = charmodel.costs(charmodel.character_counts(rows, texts)) if texts else {}
+    trust = feed.groupBy(F.col("source_db").alias("_s")).agg(F.min("trust_rank").cast("int").alias("_trust"))
+    base = rows.select(F.col(id_col).cast("bigint").alias("_id"), F.col("source_db").alias("_s"), F.col("harvested_at").cast("timestamp").alias("_at"), *(F.col(f).cast("string").alias(f"_v{i}") for i, f in enumerate(names)))
+    members = groups.select(F.col(id_col).alias("_id"), F.col("group_id").alias("_g"))
+    long = base.join(small(members), "_id").join(small(trust), "_s", "left").select("_g", "_id", F.coalesce("_trust", F.lit(2**31 - 1)).alias("_trust"), "_at", *(f"_v{i}" for i in range(len(names))))
+    graded = stage(long.mapInArrow(_grader(kinds, model), _GRADED_DDL), "graded-rows").df
+    begun = small(_beginnings(graded)) if texts else None
+    whole, readable = F.lit(0), F.lit(0)
+    for i, name in enumerate(names):
+        good = F.col("_grades")[i]
+        if name in texts:
+            flags = begun.filter(F.col("_f") == i).select("_g", F.col("_h").alias(f"_h{i}"), F.lit(True).alias(f"_b{i}"))
+            graded = graded.withColumn(f"_h{i}", F.xxhash64(F.col("_stems")[i])).join(flags, ["_g", f"_h{i}"], "left")
+            good = F.when(F.col(f"_b{i}") | (F.length(F.col("_stems")[i]) < 2), F.least(good, F.lit(CUT))).otherwise(good)
+        whole = whole + F.when(good == WHOLE, 1 << i).otherwise(0)
+        readable = readable + F.when(good > UNUSABLE, 1 << i).otherwise(0)
+    points = graded.select("_g", "_trust", whole.alias("w"), readable.alias("r"), F.coalesce(F.unix_micros("_at"), F.lit(-(2**62))).alias("at"), "_id").filter("r > 0")
+    cells = points.groupBy("_g", "_trust", "w", "r").agg(F.max(F.struct("at", (-F.col("_id")).alias("neg"))).alias("top"))
+    gathered = cells.groupBy("_g").agg(F.collect_list(F.struct("w", "r", F.col("_trust").alias("t"), F.col("top.at").alias("at"), (-F.col("top.neg")).alias("id"))).alias("_points"))
+    return gathered.mapInArrow(_chooser(names), "group_id bigint, field_name string, _row bigint, grade int, layer int").withColumnRenamed("_row", id_col)
+
+
+def surviving_records(rows: DataFrame, picked: DataFrame, fields: dict[str, str] | None = None, id_col: str = "row_id") -> DataFrame:
+    """One record per group from what ``survivors`` picked: each field's value, and the layer it came from."""
+    names = list(fields or FIELDS)
+    values = rows.select(F.col(id_col).cast("bigint").alias("_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("_name"), F.col(f).cast("string").alias("_value")) for f in names))).alias("_e")).select("_id", "_e._name", "_e._value")
+    found = picked.join(values, (picked[id_col] == values["_id"]) & (picked["field_name"] == values["_name"]))
+    of = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
+    return found.groupBy("group_id").agg(*(of(f, "_value").alias(f) for f in names), *(of(f, "layer").alias(f"{f}_layer") for f in names))

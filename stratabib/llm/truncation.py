@@ -64,6 +64,17 @@ def _closed(fragment: str, lang: str) -> bool:
     return tail.endswith(_TERMINATED) and not (lang == "zh" and re.search(r"\d\.$", tail))
 
 
+def last_fragment(body: str) -> str:
+    """What follows the last border of sentences or lines, found from the end backwards; ``body`` has no blanks behind."""
+    size = 256
+    while True:
+        start = max(0, len(body) - size)
+        parts = [f for f in _SENTENCE.split(body[start:]) if f and f.strip()]
+        if len(parts) > 1 or not start:
+            return parts[-1] if parts else ""
+        size *= 4
+
+
 def ending(text: str) -> tuple[str, str, str, str, str]:
     """(language, kind, opener, last fragment with digits alike, word before a final bare number) of a text's end.
 
@@ -72,8 +83,7 @@ def ending(text: str) -> tuple[str, str, str, str, str]:
     lang = language(text)
     body = text.rstrip()
     cut_mark = _ELLIPSIS.search(body)
-    fragments = [f for f in _SENTENCE.split(_ELLIPSIS.sub("", body)) if f and f.strip()]
-    last = fragments[-1] if fragments else ""
+    last = last_fragment(_ELLIPSIS.sub("", body).rstrip())
     tail = _DIGITS.sub("0", last)
     if cut_mark:
         return lang, "marked", opener(last, lang), tail, ""

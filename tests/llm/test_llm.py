@@ -71,10 +71,34 @@ def test_survivors(spark):
     df = df.withColumn("value", F.lit("clash"))
     groups = spark.createDataFrame([(i, 1) for i in range(1, 7)], "row_id bigint, group_id bigint")
     got = {r["field_name"]: (r["row_id"], r["grade"], r["layer"]) for r in survivors.survivors(df, groups, feed).collect()}
-    assert got == {"abstract_en": (2, 2, 1), "title_cn": (2, 2, 1), "cited_count": (4, 2, 1)}
+    assert got == {"abstract_en": (2, 2, 1), "title_cn": (2, 2, 1), "cited_count": (4, 2, 2)}  # no source A record holds a count
     assert survivors.survivors(df.limit(0), groups, feed).count() == 0
 
 
+def test_layers_fill_what_earlier_ones_leave(spark):
+    """Each layer gives what no record before it holds; with one layer only, the fields of the later ones stay empty."""
+    title, text = "题名全文在此处完整", "The pump was tested twice. It held."
+    feed = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "source_db string, trust_rank int")
+    rows = [(1, "A", 1, None, title, None), (2, "B", 1, text, title, None), (3, "C", 9, text, title, "5"), (4, "C", 1, text, title, "7"), (5, "B", 1, text[:20], None, None)]
+    df = spark.createDataFrame([(*r[:2], *r[3:], r[2]) for r in rows], "row_id bigint, source_db string, abstract_en string, title_cn string, cited_count string, t int").withColumn("harvested_at", F.timestamp_seconds(F.col("t") * 86400))
+    groups = df.select("row_id", F.when(F.col("row_id") < 5, 1).otherwise(5).cast("bigint").alias("group_id"))
+    got = sorted(tuple(r) for r in survivors.survivors(df, groups, feed).collect())
+    assert got == [(1, "abstract_en", 2, 2, 2), (1, "cited_count", 3, 2, 3), (1, "title_cn", 1, 2, 1), (5, "abstract_en", 5, 1, 1)]
+    record = survivors.surviving_records(df, survivors.survivors(df, groups, feed)).filter("group_id = 1").first()
+    assert (record["abstract_en"], record["cited_count"], record["title_cn"], record["cited_count_layer"]) == (text, "5", title, 3)
+
+
+def test_beginnings_over_partition_borders(spark):
+    """A value that begins another of its group is found however the sorted values are cut into partitions."""
+    rng = random.Random(3)
+    values = [(g, "".join(rng.choice("ab") for _ in range(rng.randint(2, 9)))) for g in (1, 2) for _ in range(60)]
+    df = spark.createDataFrame([(g, [v]) for g, v in values], "_g bigint, _stems array<string>").repartition(5)
+    got = {(r["_g"], r["_h"]) for r in survivors._beginnings(df).collect()}
+    begun = {(g, v) for g, v in values for h, w in values if g == h and w != v and w.startswith(v)}
+    want = {(r["g"], r["h"]) for r in spark.createDataFrame(sorted(begun), "g bigint, v string").select("g", F.xxhash64("v").alias("h")).collect()}
+    assert got == want
+
+
 def test_survivors_against_policy(spark):
     """The pick is the best by (whole, trust, date, id) of the rows that have a value."""
     rng = random.Random(4)
