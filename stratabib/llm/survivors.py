@@ -55,7 +55,7 @@ def _grader(kinds: list[str], costs: dict[str, float]):
             return UNUSABLE
         if text.endswith(("...", "…")):
             return CUT
-        if kind == "prose" and ending(text)[1] not in ("closed", "number"):
+        if kind == "prose" and ending(text)[1] != "closed":
             return CUT
         return WHOLE
 

@@ -318,6 +318,15 @@ def test_truncation_held_out(spark):
     assert hit >= 0.95 * sum(r["cut"] for r in got) and hit >= 0.95 * sum(r["truncated"] for r in got)
 
 
+def test_closed_ends_are_scored_too(spark):
+    """A dot that elsewhere goes on is no end; without the counts of contexts every closed end would be whole."""
+    rows = [(i, f"The core of Smith et al. showed {w} flow. It was tested by Brown et al. in May.", "s") for i, w in enumerate(["slow", "fast", "steady", "weak"] * 30)]
+    rows += [(500, "The pump held. It was first shown by Smith et al.", "s"), (501, "The core of Smith et al. showed slow flow...", "s"), (502, "The core of Smith et al. showed slow fl...", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["truncated"] for r in truncation.find_truncated(df).collect()}
+    assert got[500] and got[502] and not any(got[i] for i in range(120))
+
+
 def test_truncation_edges(spark):
     rows = [(1, None, "s"), (2, "", "s"), (3, "nan", "s"), (4, "One ends. Two", None), (5, "One ends. " * 20_000 + "Tw", "s")] + [(10 + i, f"One ends{' well' * i}. Two ends too.", "s") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("truncated", F.lit("x"))
