@@ -1,11 +1,11 @@
 """Evaluation passages inside training documents, by q-gram lemma filtering.
 
 Item and document are compared as strings of letters and digits alone, so case, punctuation, spacing,
-line breaks and markup don't count. A passage of L such characters with at most e edits shares at least
-L // q - e of the document's q-blocks laid end to end with the item, on neighbouring diagonals. Shared
-q-grams are counted in overlapping diagonal bands; bands that meet the bound are verified by banded
+line breaks and markup don't count. A passage may have one edit in EDIT_EVERY letters. One of L letters with at most e
+edits shares at least L // q - e of the document's q-blocks laid end to end with the item, on neighbouring diagonals.
+Shared q-grams are counted in overlapping diagonal bands; bands that meet the bound are verified by banded
 alignment, and a document leaks an item if the aligned stretch holds the whole item or enough consecutive
-words (characters in Chinese) of it.
+words (characters in Chinese) of it. A stretch without edits is told from one with some.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 from stratabib.runtime import BROADCAST_BOUND
 
 MIN_WORDS, MIN_CHARS = 12, 24
-#: Length of a q-gram by item language, and edits that a passage may have.
+#: Longest q-gram by item language; one edit is allowed in so many letters.
 Q = {"en": 10, "zh": 5}
-EDITS = 0
+EDIT_EVERY = 30
 BAND = 16
+#: Letters of the items that one index holds, at 16 bytes each.
+INDEX_LETTERS = 16_000_000
 MISSING = {"", "nan"}
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|!?\[([^\[\]]{0,200})\]\([^()\s]{0,300}\)")
@@ -80,88 +83,152 @@ class Item:
         return min([len(self.letters), *(self.ends[i + n - 1] - starts[i] for i in range(len(self.ends) - n + 1))])
 
 
+def allowed(letters: int) -> int:
+    """Edits that a stretch of so many letters may have."""
+    return -(-letters // EDIT_EVERY)
+
+
+def filter_of(item: Item) -> tuple[int, int]:
+    """(q, q-blocks that a leaking document shares with the item on a band): by the q-gram lemma, for the item's shortest passage."""
+    least = item.shortest()
+    edits = allowed(least)
+    # a stretch of this length holds a q-block of the document whole, wherever it begins
+    q = max(1, min(Q[item.lang], (least + 1) // (2 * (edits + 1))))
+    return q, max(1, (least + 1) // q - 1 - edits)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+_SIEVE = 20
+
+
+class _Grams:
+    """All q-grams of some items as sorted hashes with the places they stand at."""
+
+    def __init__(self, q: int, items: list[tuple[int, Item]]):
+        self.q = q
+        self.powers = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(q)], dtype=np.uint64)
+        h, item, at = [], [], []
+        for k, x in items:
+            codes = _codes(x.letters)
+            if len(codes) >= q:
+                h.append(self._hash(np.lib.stride_tricks.sliding_window_view(codes, q)))
+                item.append(np.full(len(h[-1]), k, dtype=np.int32))
+                at.append(np.arange(len(h[-1]), dtype=np.int32))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        hashes = join(h, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.h, self.item, self.at = hashes[order], join(item, np.int32)[order], join(at, np.int32)[order]
+        self.sieve = np.zeros(1 << _SIEVE, dtype=bool)
+        self.sieve[self._slot(self.h)] = True
+
+    def _hash(self, windows: np.ndarray) -> np.ndarray:
+        return ((windows + np.uint64(1)) * self.powers).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - _SIEVE)).astype(np.int64)
+
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, place in the document, place in the item) of the document's blocks that stand in an item."""
+        n = len(codes) // self.q
+        blocks = self._hash(codes[: n * self.q].reshape(n, self.q))
+        maybe = np.flatnonzero(self.sieve[self._slot(blocks)])
+        if not len(maybe):
+            return
+        first, last = np.searchsorted(self.h, blocks[maybe], "left"), np.searchsorted(self.h, blocks[maybe], "right")
+        for b, i, j in zip(maybe.tolist(), first.tolist(), last.tolist()):
+            for k, at in zip(self.item[i:j].tolist(), self.at[i:j].tolist()):
+                yield k, b * self.q, at
+
+
 class Index:
-    """All q-grams of the items, by language."""
+    """q-grams of the items, by their q."""
 
     def __init__(self, items: list[Item]):
         self.items = [i for i in items if i.letters]
-        self.grams: dict[str, dict[str, list[tuple[int, int]]]] = {"en": defaultdict(list), "zh": defaultdict(list)}
-        self.q = dict(Q)
-        self.need = {}
-        for lang in Q:
-            own = [i for i in self.items if i.lang == lang]
-            least = min([i.shortest() for i in own], default=2 * Q[lang])
-            # a stretch of this length holds a q-block of the document whole, wherever it begins
-            self.q[lang] = max(1, min(Q[lang], (least + 1) // (2 * (EDITS + 1))))
-            self.need[lang] = max(1, (least + 1) // self.q[lang] - 1 - EDITS)
-        for k, item in enumerate(self.items):
-            q = self.q[item.lang]
-            for p in range(len(item.letters) - q + 1):
-                self.grams[item.lang][item.letters[p : p + q]].append((k, p))
+        self.filters = [filter_of(i) for i in self.items]
+        by_q: dict[int, list[tuple[int, Item]]] = defaultdict(list)
+        for k, (item, (q, _)) in enumerate(zip(self.items, self.filters)):
+            by_q[q].append((k, item))
+        self.grams = [_Grams(q, own) for q, own in sorted(by_q.items())]
 
     def candidates(self, text: str) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """Shared q-blocks (document, item position) by item and diagonal band, where they reach the bound."""
-        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for lang, grams in self.grams.items():
-            if not grams:
-                continue
-            q, need = self.q[lang], self.need[lang]
-            hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for p in range(0, len(text) - q + 1, q):
-                for k, at in grams.get(text[p : p + q], ()):
+        codes = _codes(text)
+        hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for grams in self.grams:
+            if len(codes) >= grams.q:
+                for k, p, at in grams.hits(codes):
                     band = (p - at) // BAND
                     hits[k, band].append((p, at))
                     hits[k, band + 1].append((p, at))  # bands overlap by half
-            out |= {key: found for key, found in hits.items() if len(found) >= need}
-        return out
-
-    def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, first letter in item, last, first letter in document) of each leaked item, longest stretch."""
-        if len(text) < min(self.q.values()):
-            return []
-        best: dict[int, tuple[int, int, int]] = {}
+        return {key: found for key, found in hits.items() if len(found) >= self.filters[key[0]][1]}
+
+    def leaks(self, text: str) -> list[tuple[int, int, int, int, int]]:
+        """(item, first letter in item, last, first letter in document, edits) of each leaked item.
+
+        The longest stretch without edits; if none is long enough, the longest with the edits allowed.
+        """
+        best: dict[int, tuple[bool, int, tuple[int, int, int, int]]] = {}
         for (k, _), found in self.candidates(text).items():
-            item = self.items[k]
-            q = self.q[item.lang]
+            item, q = self.items[k], self.filters[k][0]
             done: dict[int, int] = {}  # by diagonal: where the run of equal letters last aligned ends in the item
             for p, at in found:
                 if at < done.get(p - at, 0):
                     continue
-                a, b, d = align(text, item.letters, p, at, q)
-                done[p - at] = at + q + _run(text, item.letters, p + q, at + q)
-                if item.enough(a, b) and (k not in best or b - a > best[k][1] - best[k][0]):
-                    best[k] = (a, b, d)
-        return [(self.items[k].item_id, a, b, d) for k, (a, b, d) in best.items()]
-
-
-def align(text: str, item: str, p: int, at: int, q: int) -> tuple[int, int, int]:
-    """Banded alignment out from a shared q-gram: the stretch of the item it covers, and where it begins in the text.
-
-    With no edits allowed the band is one diagonal and the alignment a run of equal characters; else each
-    of at most EDITS edits moves it to a neighbouring diagonal within the band.
+                if text[p : p + q] != item.letters[at : at + q]:
+                    continue  # equal hashes of different grams
+                back, on = _run(text[:p][::-1], item.letters[:at][::-1], 0, 0), _run(text, item.letters, p + q, at + q)
+                done[p - at] = at + q + on
+                if item.enough(at - back, at + q + on):
+                    self._keep(best, k, True, (at - back, at + q + on, p - back, 0))
+                elif k not in best or not best[k][0]:
+                    a, b, d, edits = align(text, item.letters, p, at, q)
+                    if edits <= allowed(b - a) and item.enough(a, b):
+                        self._keep(best, k, False, (a, b, d, edits))
+        return [(self.items[k].item_id, *stretch) for k, (_, _, stretch) in best.items()]
+
+    @staticmethod
+    def _keep(best: dict, k: int, exact: bool, stretch: tuple[int, int, int, int]) -> None:
+        size = stretch[1] - stretch[0]
+        if k not in best or (exact, size) > best[k][:2]:
+            best[k] = (exact, size, stretch)
+
+
+def align(text: str, item: str, p: int, at: int, q: int) -> tuple[int, int, int, int]:
+    """Banded alignment out from a shared q-gram: the stretch of the item it covers, where it begins in the text, and its edits.
+
+    Each edit moves the alignment to a neighbouring diagonal within the band at most; it goes on while its edits are allowed.
     """
-    a, d = _extend(text[:p][::-1], item[:at][::-1])
-    b, _ = _extend(text[p + q :], item[at + q :])
-    return at - a, at + q + b, p - d
+    a, d, left = _extend(text[max(0, p - len(item) - BAND) : p][::-1], item[:at][::-1])
+    b, _, right = _extend(text[p + q : p + len(item) + BAND], item[at + q :])
+    return at - a, at + q + b, p - d, left + right
 
 
-def _extend(text: str, item: str) -> tuple[int, int]:
-    """How far item and text go on alike, in item and text characters, spending at most EDITS edits."""
+def _extend(text: str, item: str) -> tuple[int, int, int]:
+    """How far item and text go on alike, in item and text characters, and the edits spent: one in EDIT_EVERY letters at most."""
     reach = {0: _run(text, item, 0, 0)}  # by diagonal: item characters covered
-    best = (reach[0], reach[0])
-    for _ in range(EDITS):
+    best = (reach[0], reach[0], 0)
+    for edits in range(1, allowed(len(item)) + 1):
         new: dict[int, int] = {}
         for diagonal, i in reach.items():
             for step, move in ((0, 1), (1, 0), (-1, 1)):  # replaced, inserted in text, left out of text
                 x, y = i + move, i + move + diagonal + step
-                if x <= len(item) and 0 <= y <= len(text):
+                if x <= len(item) and 0 <= y <= len(text) and abs(diagonal + step) <= BAND:
                     x += _run(text, item, y, x)
                     if x > new.get(diagonal + step, -1):
                         new[diagonal + step] = x
+        if not new:
+            break
         reach = new
-        for diagonal, i in reach.items():
-            if i > best[0]:
-                best = (i, i + diagonal)
+        diagonal, i = max(reach.items(), key=lambda r: r[1])
+        if edits > allowed(i) + 1:
+            break
+        if edits <= allowed(i) and i > best[0] + 1:
+            best = (i, i + diagonal, edits)
     return best
 
 
@@ -172,8 +239,8 @@ def _run(text: str, item: str, y: int, x: int) -> int:
     return n
 
 
-_OUT = pa.schema([("_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("item_share", pa.float64())])
-_OUT_DDL = "_id bigint, item_id bigint, matched int, item_share double"
+_OUT = pa.schema([("_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("item_share", pa.float64()), ("edits", pa.int32())])
+_OUT_DDL = "_id bigint, item_id bigint, matched int, item_share double, edits int"
 
 
 def _searcher(items: list[tuple[int, str, str]]):
@@ -181,30 +248,30 @@ def _searcher(items: list[tuple[int, str, str]]):
         index = Index([Item(*i) for i in items])
         length = {i.item_id: len(i.letters) for i in index.items}
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text or text in MISSING:
                     continue
-                for item, a, b, _ in index.leaks(letters(text)):
-                    for column, x in zip(out, (doc, item, b - a, (b - a) / length[item])):
+                for item, a, b, _, edits in index.leaks(letters(text)):
+                    for column, x in zip(out, (doc, item, b - a, (b - a) / length[item], edits)):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _OUT.types)], schema=_OUT)
 
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_block: int = 20_000) -> DataFrame:
-    """``(id_col, item_id, matched, item_share)`` of every document that carries an item, wholly or in part.
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_letters: int = INDEX_LETTERS) -> DataFrame:
+    """``(id_col, item_id, matched, item_share, edits)`` of every document that carries an item, wholly or in part.
 
-    ``matched`` counts letters of the longest stretch. The items are a stated query set: they are taken in
-    blocks of ``item_block``, each within the bound for broadcast, and every block is held against all
+    ``matched`` counts letters of the longest stretch; ``edits`` is 0 if it stands there letter by letter. The items are a stated query set: they are taken in
+    blocks of about ``index_letters`` letters, within the bound for broadcast, and every block is held against all
     documents. Missing texts or items (NULL, '', ``nan``) match nothing; repeated items are reported once per
     id; texts of any length are searched whole.
     """
     named = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("item_text").cast("string").alias("text"))
     named = named.filter("item_id is not null and text is not null and trim(text) not in ('', 'nan')").distinct()
     size = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    blocks = max(1, -(-size["n"] // item_block), -(-size["chars"] * 4 // BROADCAST_BOUND))
+    blocks = max(1, -(-size["chars"] // min(index_letters, BROADCAST_BOUND // 4)))
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     parts = []
     for b in range(blocks):
@@ -214,5 +281,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     for p in parts[1:]:
         out = out.unionByName(p)
     if size["n"] and named.select("item_id").distinct().count() < size["n"]:
-        out = out.groupBy("_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_share").alias("item_share"))
+        out = out.groupBy("_id", "item_id").agg(F.max_by("matched", F.struct(-F.col("edits"), "matched")).alias("matched"), F.max_by("item_share", F.struct(-F.col("edits"), "matched")).alias("item_share"), F.min("edits").alias("edits"))
     return out.withColumnRenamed("_id", id_col)

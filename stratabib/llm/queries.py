@@ -56,14 +56,23 @@ def p7_restored(spark, sf_dir):
     return find_garbled(table(spark, sf_dir, MERGED)).select("rec_id", "field_name", "garbled", "restored")
 
 
+def _leaks(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark, sf_dir):
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).filter("edits = 0").select("doc_id", "item_id")
+
+
+def p8_near(spark, sf_dir):
+    """Passages that were retyped: carried with a few edits, never letter by letter."""
+    return _leaks(spark, sf_dir).filter("edits > 0").select("doc_id", "item_id", "edits", F.round("item_share", 6).alias("share"))
 
 
 def p8_items(spark, sf_dir):
     """Which items leaked, into how many documents, and how much of them."""
-    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.when(F.col("item_share") >= 1.0, 1).otherwise(0)).alias("n_whole"), F.round(F.max("item_share"), 6).alias("largest_share"))
+    leaks = _leaks(spark, sf_dir)
+    return leaks.groupBy("item_id").agg(F.count_if("edits = 0").alias("n_docs"), F.count_if("edits = 0 and item_share >= 1.0").alias("n_whole"), F.count_if("edits > 0").alias("n_near"), F.round(F.max("item_share"), 6).alias("largest_share"))
 
 
 def _mix(spark, sf_dir):
