@@ -23,11 +23,16 @@ from stratabib.llm import charmodel
 
 #: A text is garbled if the search lowers its cost by at least this much, by a share of it, over at least two characters.
 LEAST_GAIN, LEAST_SHARE = 5.0, 0.4
-MAX_STATES = 24
+#: A step may make a text dearer by less than this if the step after it makes it cheaper.
+SLACK = 2.0
+#: Wrong decodings and escapes that may lie on top of each other.
+DEPTH = 3
 MISSING = {"", "nan"}
 
-#: Marks of decoding that lost bytes: replacement and control characters, and replacement characters read once more.
-LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]|锟斤拷|[-]|(?<=[A-Za-z])\\?(?=[a-z]{2})(?=.*[^\\x00-\\x7f])")
+#: Marks of decoding that lost bytes: replacement and control characters, private ones, and replacement characters read
+#: once more. No ordinary text holds them, so each costs as much as a text may gain at least.
+LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]|锟斤拷|[\ue000-\uf8ff]")
+DAMAGE = 6.0
 
 _C1 = {b: chr(b) for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _W1252 = {bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if b not in _C1}
@@ -77,7 +82,11 @@ class Searcher:
                 strange = any(x and not x.isascii() and not (0xC0 <= ord(x) <= 0x24F) for x in (a, b))
                 v = 1.15 if plain and not strange else 3.0
             total += v - 1.0
-        return total + 4.0 * len(_INSIDE.findall(text))
+        return total + 4.0 * len(_INSIDE.findall(text)) + (DAMAGE * text.count("锟斤拷") if "锟" in text else 0.0)
+
+    def damage(self, text: str) -> float:
+        """The part of a text's cost that no step can explain: characters that stand where bytes were lost."""
+        return sum(max(DAMAGE, self.char(m[0]) - 1.0 if len(m[0]) == 1 else 0.0) for m in LOST.finditer(text))
 
     def _spans(self, raw: bytes, spans: re.Pattern, codec: str, back: str) -> str | None:
         """Bytes with the stretches that decode by another codec decoded; None if there are none."""
@@ -242,15 +251,19 @@ class Searcher:
             yield new
 
     def search(self, text: str) -> Finding:
-        """The cheapest text reachable; garbled if that is far cheaper, or if characters were lost."""
-        lost = LOST.search(text) is not None
+        """The cheapest text reachable; garbled if it is far cheaper, or if even it holds what stands for lost bytes.
+
+        The cheapest text known is taken further first. A text that gained less than half of what the best one gained is
+        left, so the search ends when all others within DEPTH steps are visited; single steps that gain nothing may lie between.
+        """
         first = self.cost(text)
-        if not lost and (first < LEAST_GAIN - 1 and not _ESCAPED.search(text)):
+        if first < LEAST_GAIN - 1 and not _ESCAPED.search(text):
             return Finding(False, None, 0.0)
-        heap, visited, best, n = [(first, 0, text)], {hash(text)}, (first, text), 0
-        while heap and n < MAX_STATES:
-            cost, _, now = heapq.heappop(heap)
-            n += 1
+        heap, visited, best = [(first, 0, text, False, 0)], {hash(text)}, (first, text)
+        while heap:
+            cost, _, now, idle, depth = heapq.heappop(heap)
+            if cost > best[0] + SLACK and 2.0 * (first - cost) < first - best[0]:
+                break
             for new in self._moves(now):
                 if (h := hash(new)) in visited:
                     continue
@@ -258,15 +271,17 @@ class Searcher:
                 c = self.cost(new)
                 if c < best[0]:
                     best = (c, new)
-                if c < cost + 2.0:
-                    heapq.heappush(heap, (c, len(visited), new))
+                if depth + 1 < DEPTH and (c < cost or (not idle and c < cost + SLACK)):
+                    heapq.heappush(heap, (c, len(visited), new, c >= cost, depth + 1))
             if best[0] <= 0.0:
                 break
         gain = first - best[0]
         found = gain >= LEAST_GAIN and gain >= LEAST_SHARE * first
         short = gain >= 1.5 and gain >= 0.8 * first and best[1].isascii() is False and first <= 12 and len(text) - len(best[1]) >= 1
+        lost = self.damage(best[1]) >= LEAST_GAIN
         garbled = lost or found or short
-        whole = best[1] if (found or short) and not LOST.search(best[1]) else None
+        whole = best[1] if (found or short) and not lost else None
+        self.visited = len(visited)
         return Finding(garbled, whole if garbled else None, gain, best[1])
 
 
@@ -299,7 +314,7 @@ def find_garbled(df: DataFrame, id_col: str = "rec_id", columns: tuple[str, ...]
     """Rows ``(id_col, field_name, garbled, restored)`` of garbled values; ``restored`` is NULL where characters were lost.
 
     The character model counts all text of the columns. Missing values (NULL, '', ``nan``) are not garbled. Very
-    long texts are searched whole, with at most MAX_STATES texts visited each. Repeated rows are found each for
+    long texts are searched whole. Repeated rows are found each for
     themselves; other columns are not read; an empty table gives an empty result.
     """
     names = list(columns)
