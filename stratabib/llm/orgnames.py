@@ -2,8 +2,10 @@
 
 An organisation is a place and a kind ("Ostbury" + "University of Petroleum"); both are learned from the rules.
 A profile holds every spelling known of a place or a kind, with their initials. A name matches if its parts
-match a place and a kind exactly, by one typing error, by abbreviation or by initials; what matched is merged
-into the profile, and the richer profile meets the names left over in the next round.
+match a place and a kind exactly, by one typing error, by abbreviation or by initials, but not both parts by such
+likeness alone: one known part vouches for the other's new spelling. What matched is merged into the profile, and the
+richer profile meets the names left over in the next round, so a name with two odd parts is linked once each of them
+was met beside a known one.
 """
 
 from __future__ import annotations
@@ -173,9 +175,10 @@ class Profiles:
             if len(t) > 3:
                 for d in _deletes(t):
                     self.near[d].append(t)
-        self.by_kind: dict[str, list[tuple[str, ...]]] = defaultdict(list)
-        for a, kind in self.kind_en.items():
-            self.by_kind[kind].append(a)
+        self.blocks: dict[str, list[tuple[str, ...]]] = defaultdict(list)
+        for a in self.kind_en:
+            for key in _block_keys(a):
+                self.blocks[key].append(a)
         self.kinds_zh = sorted(self.kind_zh, key=lambda k: (-len(k), k))
         self.full_zh = sorted(set(self.kind_zh.values()), key=lambda k: (-len(k), k))
         self.place_sizes = sorted({len(p) for p in self.place_zh}, reverse=True)
@@ -194,6 +197,8 @@ class Profiles:
         if found is None:
             return None, "", "", "", ""
         place, kind, new_kind, new_place = found
+        if new_kind and new_place:
+            return None, "", "", "", ""
         return self.standard.get((place, kind)), place, kind, new_kind, new_place
 
     def _resolve_zh(self, form: str, hints: list[str]):
@@ -256,12 +261,21 @@ class Profiles:
         if rest in self.kind_en:
             return self.kind_en[rest], ""
         if rest not in self._kind_memo:
-            scores = sorted(((max((_alike(rest, a) for a in aliases), default=0.0), kind) for kind, aliases in self.by_kind.items()), reverse=True)
+            best: dict[str, float] = {}
+            for a in {a for key in _block_keys(rest) for a in self.blocks.get(key, ())}:
+                kind = self.kind_en[a]
+                best[kind] = max(best.get(kind, 0.0), _alike(rest, a))
+            scores = sorted(((v, kind) for kind, v in best.items()), reverse=True)
             good = scores and scores[0][0] >= 0.55 and (len(scores) < 2 or scores[0][0] - scores[1][0] >= 0.12)
             self._kind_memo[rest] = scores[0][1] if good else None
         return self._kind_memo[rest], " ".join(rest)
 
 
+def _block_keys(tokens: tuple[str, ...]) -> set[str]:
+    """First and second letters of the words: words that are alike at all share one, whatever one edit did to them."""
+    return {c for t in tokens for c in t[:2]}
+
+
 def _two_edits(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= 2 and any(one_edit(x, y) for x in _deletes(a) for y in _deletes(b))
 

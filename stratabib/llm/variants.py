@@ -20,8 +20,9 @@ from stratabib.llm.mojibake import Searcher
 from stratabib.llm.orgnames import Profiles, name_and_hints
 from stratabib.runtime import stage
 
-#: A new spelling is merged if this many mentions agree on its profile, and this share of those that have it. Spellings
-#: below SUPPORT of all mentions are matched, not merged: at most 1 / SUPPORT spellings are ever held in the profiles.
+#: A new spelling is merged if this many mentions agree on its profile, and this share of those that have it. Merged
+#: spellings lie within a few edits of those of the rules, which bounds their number. A place that isn't listed is known
+#: apart if this share of all mentions names it.
 MIN_COUNT, AGREEMENT, SUPPORT = 2, 0.8, 1e-5
 #: Rules are a stated dictionary, held in memory whole.
 MAX_RULES = 1_000_000
@@ -84,8 +85,8 @@ def _agreed(found: DataFrame, spelling: str, target: str, least: float) -> list[
     return sorted((r[0], r[1]) for r in rows)
 
 
-def learn_profiles(records: DataFrame, rules: DataFrame, column: str = "institution") -> tuple[Profiles, dict[str, float]]:
-    """Profiles after all rounds, and the character model used to restore garbled names."""
+def learn_profiles(records: DataFrame, rules: DataFrame, column: str = "institution", rounds: int = -1) -> tuple[Profiles, dict[str, float]]:
+    """Profiles after all rounds (``rounds`` of them if positive, none if 0), and the character model used to restore garbled names."""
     texts = records.select(F.col(column).cast("string").alias("text")).filter("text is not null and trim(text) not in ('', 'nan')")
     costs = charmodel.costs(charmodel.character_counts(texts, ["text"]))
     rows = rules.select(*(F.col(c).cast("string") for c in ("机构原始名称", "机构译名", "机构标准名", "备注"))).distinct().limit(MAX_RULES + 1).collect()
@@ -100,9 +101,11 @@ def learn_profiles(records: DataFrame, rules: DataFrame, column: str = "institut
     places = counted.filter("kind = 'hint' and length(text) > 2").groupBy("text").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).join(words, F.col("text") == F.col("w")).filter(F.col("m") >= least)
     profiles.foreign = {r["text"]: r["n"] for r in places.select("text", "n").collect() if r["text"] not in profiles.place_en}
     forms = counted.filter("kind = 'form'").select("text", "hint", "n")
-    while True:  # each round adds spellings of the table or is the last
+    while rounds:  # each round adds spellings of the table or is the last
         found = stage(forms.mapInArrow(_matcher(profiles), "text string, hint string, n bigint, place string, kind string, new_kind string, new_place string"), "org-round").df
-        if not profiles.merge(_agreed(found, "new_kind", "kind", least), _agreed(found, "new_place", "place", least)):
+        n = profiles.merge(_agreed(found, "new_kind", "kind", MIN_COUNT), _agreed(found, "new_place", "place", MIN_COUNT))
+        rounds -= 1
+        if not n or not rounds:
             break
     return profiles, costs
 
@@ -135,13 +138,13 @@ def _linker(profiles: Profiles, costs: dict[str, float]):
     return run
 
 
-def link_organisations(records: DataFrame, rules: DataFrame, id_col: str = "rec_id", column: str = "institution") -> DataFrame:
+def link_organisations(records: DataFrame, rules: DataFrame, id_col: str = "rec_id", column: str = "institution", rounds: int = -1) -> DataFrame:
     """``(id_col, standard_name)``: organisations of the rules that a record names, once each.
 
     Missing fields (NULL, '', ``nan``) and organisations that aren't listed have no row. A spelling that two listed
     organisations share links neither by itself. Long fields are split whole. Other columns are not read; empty
     tables give an empty result.
     """
-    profiles, costs = learn_profiles(records, rules, column)
+    profiles, costs = learn_profiles(records, rules, column, rounds)
     rows = records.select(F.col(id_col).cast("bigint").alias("_id"), F.col(column).cast("string").alias("_text")).filter("_text is not null and trim(_text) not in ('', 'nan')")
     return rows.mapInArrow(_linker(profiles, costs), "_id bigint, standard_name string").withColumnRenamed("_id", id_col)
