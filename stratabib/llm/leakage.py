@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,8 @@ MIN_WORDS, MIN_CHARS = 12, 24
 #: Longest q-gram by item language; one edit is allowed in so many letters.
 Q = {"en": 10, "zh": 5}
 EDIT_EVERY = 30
-BAND = 16
+#: Diagonals that the hits of one passage may drift over, and that an alignment may.
+BAND, DRIFT = 4, 16
 #: Letters of the items that one index holds, at 16 bytes each.
 INDEX_LETTERS = 16_000_000
 MISSING = {"", "nan"}
@@ -72,9 +74,9 @@ class Item:
         """Whether the letters from start to end hold the whole item or enough of its words in full."""
         if start == 0 and end == len(self.letters):
             return True
-        starts = [0, *self.ends[:-1]]
-        whole = sum(1 for s, e in zip(starts, self.ends) if s >= start and e <= end)
-        return whole >= (MIN_CHARS if self.lang == "zh" else MIN_WORDS)
+        # word i begins where word i - 1 ends
+        first = bisect_left(self.ends, start) + 1 if start else 0
+        return bisect_right(self.ends, end) - first >= (MIN_CHARS if self.lang == "zh" else MIN_WORDS)
 
     def shortest(self) -> int:
         """Fewest letters that a stretch of enough words has."""
@@ -85,16 +87,15 @@ class Item:
 
 def allowed(letters: int) -> int:
     """Edits that a stretch of so many letters may have."""
-    return -(-letters // EDIT_EVERY)
+    return letters // EDIT_EVERY
 
 
 def filter_of(item: Item) -> tuple[int, int]:
-    """(q, q-blocks that a leaking document shares with the item on a band): by the q-gram lemma, for the item's shortest passage."""
+    """(q, q-blocks that a leaking document shares with the item on a band): by the q-gram lemma, for passages of any length."""
     least = item.shortest()
-    edits = allowed(least)
     # a stretch of this length holds a q-block of the document whole, wherever it begins
-    q = max(1, min(Q[item.lang], (least + 1) // (2 * (edits + 1))))
-    return q, max(1, (least + 1) // q - 1 - edits)
+    q = max(1, min(Q[item.lang], (least + 1) // (2 * (allowed(least) + 1))))
+    return q, max(1, min((n + 1) // q - 1 - allowed(n) for n in range(least, least + 2 * EDIT_EVERY)))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -131,17 +132,15 @@ class _Grams:
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - _SIEVE)).astype(np.int64)
 
-    def hits(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, place in the document, place in the item) of the document's blocks that stand in an item."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in the array, place in the item) of the array's blocks laid end to end that stand in an item."""
         n = len(codes) // self.q
         blocks = self._hash(codes[: n * self.q].reshape(n, self.q))
         maybe = np.flatnonzero(self.sieve[self._slot(blocks)])
-        if not len(maybe):
-            return
         first, last = np.searchsorted(self.h, blocks[maybe], "left"), np.searchsorted(self.h, blocks[maybe], "right")
-        for b, i, j in zip(maybe.tolist(), first.tolist(), last.tolist()):
-            for k, at in zip(self.item[i:j].tolist(), self.at[i:j].tolist()):
-                yield k, b * self.q, at
+        times = last - first
+        at = np.repeat(first - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum()) if len(maybe) else np.zeros(0, dtype=int)
+        return self.item[at], np.repeat(maybe * self.q, times), self.at[at]
 
 
 class Index:
@@ -150,49 +149,71 @@ class Index:
     def __init__(self, items: list[Item]):
         self.items = [i for i in items if i.letters]
         self.filters = [filter_of(i) for i in self.items]
+        self.band = max([BAND, *(allowed(i.shortest()) for i in self.items)])
         by_q: dict[int, list[tuple[int, Item]]] = defaultdict(list)
         for k, (item, (q, _)) in enumerate(zip(self.items, self.filters)):
             by_q[q].append((k, item))
         self.grams = [_Grams(q, own) for q, own in sorted(by_q.items())]
 
-    def candidates(self, text: str) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """Shared q-blocks (document, item position) by item and diagonal band, where they reach the bound."""
-        codes = _codes(text)
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for grams in self.grams:
-            if len(codes) >= grams.q:
-                for k, p, at in grams.hits(codes):
-                    band = (p - at) // BAND
-                    hits[k, band].append((p, at))
-                    hits[k, band + 1].append((p, at))  # bands overlap by half
-        return {key: found for key, found in hits.items() if len(found) >= self.filters[key[0]][1]}
+    def candidates(self, texts: list[str]) -> dict[tuple[int, int, int], list[tuple[int, int]]]:
+        """Shared q-blocks (document, item position) by text, item and diagonal band, where they reach the bound.
 
-    def leaks(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item, first letter in item, last, first letter in document, edits) of each leaked item.
+        All texts are laid end to end, apart from each other: where blocks begin doesn't matter to the lemma.
+        """
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        codes = _codes("\0".join(texts))
+        need = np.array([n for _, n in self.filters], dtype=np.int64)
+        out: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        for grams in self.grams:
+            if len(codes) < grams.q:
+                continue
+            item, p, at = grams.hits(codes)
+            text = np.searchsorted(starts, p, side="right") - 1
+            p = p - starts[text]
+            band = (p - at) // self.band
+            band = np.concatenate([band, band + 1])  # bands overlap by half
+            text, item, p, at = (np.concatenate([x, x]) for x in (text, item, p, at))
+            order = np.lexsort((at, p, band, item, text))
+            text, item, band, p, at = (x[order] for x in (text, item, band, p, at))
+            begin = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1]))) if len(text) else np.zeros(0, dtype=int)
+            size = np.diff(np.append(begin, len(text)))
+            enough = size >= need[item[begin]]
+            for b, n in zip(begin[enough].tolist(), size[enough].tolist()):
+                out[int(text[b]), int(item[b]), int(band[b])] = list(zip(p[b : b + n].tolist(), at[b : b + n].tolist()))
+        return out
+
+    def leaks_of(self, texts: list[str]) -> dict[int, list[tuple[int, int, int, int, int]]]:
+        """By text (item, first letter in item, last, first letter in document, edits) of each leaked item.
 
         The longest stretch without edits; if none is long enough, the longest with the edits allowed.
         """
-        best: dict[int, tuple[bool, int, tuple[int, int, int, int]]] = {}
-        for (k, _), found in self.candidates(text).items():
-            item, q = self.items[k], self.filters[k][0]
+        best: dict[tuple[int, int], tuple[bool, int, tuple[int, int, int, int]]] = {}
+        for (which, k, _), found in self.candidates(texts).items():
+            text, item, q, key = texts[which], self.items[k], self.filters[k][0], (which, k)
             done: dict[int, int] = {}  # by diagonal: where the run of equal letters last aligned ends in the item
             for p, at in found:
                 if at < done.get(p - at, 0):
                     continue
                 if text[p : p + q] != item.letters[at : at + q]:
                     continue  # equal hashes of different grams
-                back, on = _run(text[:p][::-1], item.letters[:at][::-1], 0, 0), _run(text, item.letters, p + q, at + q)
+                back, on = _run_back(text, item.letters, p, at), _run(text, item.letters, p + q, at + q)
                 done[p - at] = at + q + on
                 if item.enough(at - back, at + q + on):
-                    self._keep(best, k, True, (at - back, at + q + on, p - back, 0))
-                elif k not in best or not best[k][0]:
+                    self._keep(best, key, True, (at - back, at + q + on, p - back, 0))
+                elif key not in best or not best[key][0]:
                     a, b, d, edits = align(text, item.letters, p, at, q)
                     if edits <= allowed(b - a) and item.enough(a, b):
-                        self._keep(best, k, False, (a, b, d, edits))
-        return [(self.items[k].item_id, *stretch) for k, (_, _, stretch) in best.items()]
+                        self._keep(best, key, False, (a, b, d, edits))
+        out: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
+        for (which, k), (_, _, stretch) in best.items():
+            out[which].append((self.items[k].item_id, *stretch))
+        return out
+
+    def leaks(self, text: str) -> list[tuple[int, int, int, int, int]]:
+        return self.leaks_of([text])[0]
 
     @staticmethod
-    def _keep(best: dict, k: int, exact: bool, stretch: tuple[int, int, int, int]) -> None:
+    def _keep(best: dict, k: tuple[int, int], exact: bool, stretch: tuple[int, int, int, int]) -> None:
         size = stretch[1] - stretch[0]
         if k not in best or (exact, size) > best[k][:2]:
             best[k] = (exact, size, stretch)
@@ -203,8 +224,8 @@ def align(text: str, item: str, p: int, at: int, q: int) -> tuple[int, int, int,
 
     Each edit moves the alignment to a neighbouring diagonal within the band at most; it goes on while its edits are allowed.
     """
-    a, d, left = _extend(text[max(0, p - len(item) - BAND) : p][::-1], item[:at][::-1])
-    b, _, right = _extend(text[p + q : p + len(item) + BAND], item[at + q :])
+    a, d, left = _extend(text[max(0, p - len(item) - DRIFT) : p][::-1], item[:at][::-1])
+    b, _, right = _extend(text[p + q : p + len(item) + DRIFT], item[at + q :])
     return at - a, at + q + b, p - d, left + right
 
 
@@ -213,11 +234,13 @@ def _extend(text: str, item: str) -> tuple[int, int, int]:
     reach = {0: _run(text, item, 0, 0)}  # by diagonal: item characters covered
     best = (reach[0], reach[0], 0)
     for edits in range(1, allowed(len(item)) + 1):
+        if edits > allowed(max(reach.values())) + 1:
+            break
         new: dict[int, int] = {}
         for diagonal, i in reach.items():
             for step, move in ((0, 1), (1, 0), (-1, 1)):  # replaced, inserted in text, left out of text
                 x, y = i + move, i + move + diagonal + step
-                if x <= len(item) and 0 <= y <= len(text) and abs(diagonal + step) <= BAND:
+                if x <= len(item) and 0 <= y <= len(text) and abs(diagonal + step) <= DRIFT:
                     x += _run(text, item, y, x)
                     if x > new.get(diagonal + step, -1):
                         new[diagonal + step] = x
@@ -225,13 +248,18 @@ def _extend(text: str, item: str) -> tuple[int, int, int]:
             break
         reach = new
         diagonal, i = max(reach.items(), key=lambda r: r[1])
-        if edits > allowed(i) + 1:
-            break
         if edits <= allowed(i) and i > best[0] + 1:
             best = (i, i + diagonal, edits)
     return best
 
 
+def _run_back(text: str, item: str, y: int, x: int) -> int:
+    n, most = 0, min(y, x)
+    while n < most and text[y - n - 1] == item[x - n - 1]:
+        n += 1
+    return n
+
+
 def _run(text: str, item: str, y: int, x: int) -> int:
     n, most = 0, min(len(text) - y, len(item) - x)
     while n < most and text[y + n] == item[x + n]:
@@ -249,11 +277,10 @@ def _searcher(items: list[tuple[int, str, str]]):
         length = {i.item_id: len(i.letters) for i in index.items}
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not text or text in MISSING:
-                    continue
-                for item, a, b, _, edits in index.leaks(letters(text)):
-                    for column, x in zip(out, (doc, item, b - a, (b - a) / length[item], edits)):
+            docs = [(doc, letters(text)) for doc, text in zip(*(c.to_pylist() for c in batch.columns)) if text and text not in MISSING]
+            for which, found in index.leaks_of([t for _, t in docs]).items():
+                for item, a, b, _, edits in found:
+                    for column, x in zip(out, (docs[which][0], item, b - a, (b - a) / length[item], edits)):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _OUT.types)], schema=_OUT)
 

@@ -149,6 +149,15 @@ def test_doubly_garbled_and_partly():
     assert s.search("UniversitÃ©").restored == "Université"
 
 
+def test_what_is_no_damage():
+    """A query in an address is no lost letter; a replacement character is; a text garbled twice is found."""
+    s = mojibake.Searcher(COSTS)
+    assert not s.search("http://x.org/detail?id=20 石油大学").garbled
+    assert s.search("石油�学").garbled and s.search("石油�学").restored is None
+    twice = "致密砂岩储层".encode().decode("latin-1").encode().decode("latin-1")
+    assert s.search(twice).garbled
+
+
 @given(st.text(st.sampled_from(PLAIN), min_size=1, max_size=40))
 @settings(max_examples=50, deadline=None)
 def test_plain_text_is_left_alone(text):
@@ -571,6 +580,25 @@ def test_link_organisations(spark):
     assert variants.link_organisations(df.limit(0), rules).count() == 0 and variants.link_organisations(df, rules.limit(0)).count() == 0
 
 
+def test_merging_links_names_with_two_odd_parts(spark):
+    """An odd place and an odd kind are linked once each was met beside a known part; without rounds they aren't."""
+    rules = spark.createDataFrame([(i, *r[:3], "x", r[3]) for i, r in enumerate(RULES)], "rule_id bigint, `机构原始名称` string, `机构译名` string, `机构标准名` string, `规则来源` string, `备注` string")
+    names = ["Osbtury Univ Petr"] * 2 + ["Ostbury Univ Pter"] * 2 + ["Osbtury Univ Pter"]
+    df = spark.createDataFrame(list(enumerate(names)), "rec_id bigint, institution string")
+    run = lambda rounds: sorted(r["rec_id"] for r in variants.link_organisations(df, rules, rounds=rounds).collect())
+    assert run(-1) == [0, 1, 2, 3, 4] and run(0) == [0, 1, 2, 3]
+
+
+def test_blocks_of_kinds_lose_no_likeness():
+    from stratabib.llm.orgnames import _alike, _block_keys
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    for _ in range(3000):
+        a, b = ((word(), word()) for _ in range(2))
+        assert _block_keys(a) & _block_keys(b) or _alike(a, b) == 0.0
+
+
 def test_rounds_go_on_until_nothing_merges(spark, monkeypatch):
     rules = spark.createDataFrame([(i, *r[:3], "x", r[3]) for i, r in enumerate(RULES)], "rule_id bigint, `机构原始名称` string, `机构译名` string, `机构标准名` string, `规则来源` string, `备注` string")
     left = [1] * 8 + [0]
