@@ -16,11 +16,27 @@ WORDS = {
 }
 #: Sounds of letter groups, longest first (fixed values).
 SOUNDS = {"shu": "舒", "lin": "林", "bur": "伯", "ost": "奥", "ka": "卡", "wi": "威", "lu": "鲁", "na": "纳", "do": "多", "va": "瓦", "a": "阿", "b": "布", "c": "克", "d": "德", "e": "埃", "f": "弗", "g": "格", "h": "赫", "i": "伊", "k": "克", "l": "尔", "m": "姆", "n": "恩", "o": "奥", "p": "普", "r": "尔", "s": "斯", "t": "特", "u": "乌", "v": "夫", "w": "沃", "y": "伊", "z": "兹", "j": "杰", "q": "奇", "x": "克斯"}
+#: Numerals (fixed values).
 DIGITS = "零一二三四五六七八九十"
+#: Kinds of organisation that name none by themselves (fixed values).
 GENERIC = ["大学", "学院", "研究院", "研究所", "公司", "集团", "中心", "实验室"]
-NOISY = ["研究研究所", "研究研究院", "大学大学", "学院学院", "大学技术", "研究所技术", "中心研究技术"]
-#: Mentions from which a doubtful result is worth a reviewer's time.
+#: Mentions from which a doubtful result is worth a reviewer's time (fixed values).
 LOW, MEDIUM, HIGH = 20, 50, 100
+#: Words of enterprises (fixed values).
+ENTERPRISE = ["petrochina", "sinopec", "cnpc", "cnooc", "oilfield", "company", "corp"]
+#: Reasons for review in their order, the signals that all must hold, and the mentions from which they count. A reason may
+#: have several rows. The reasons' names are fixed values.
+REVIEW = [
+    ("empty_trans_or_norm", ("missing",), 0),
+    ("norm_not_cjk", ("foreign",), HIGH),
+    ("norm_not_cjk", ("foreign", "enterprise"), MEDIUM),
+    ("high_freq_auto_result", ("bare",), HIGH),
+    ("top_freq_needs_review", ("foreign", "derived"), HIGH),
+    ("top_freq_needs_review", ("bare", "derived"), HIGH),
+    ("generic_enterprise_alias", ("enterprise", "foreign"), MEDIUM),
+    ("same_name_country_disambiguation", ("scattered", "acronym"), LOW),
+    ("pending_disambiguation_label", ("pending",), 0),
+]
 
 
 def assemble_rules(tables: list[DataFrame], key: str = "name", value: str = "value") -> DataFrame:
@@ -79,45 +95,65 @@ def numbered_plant(name: Column) -> Column:
     return F.when(n.isNotNull(), F.concat(F.lit("第"), chinese_number(n), kind))
 
 
-def has_latin(c: Column) -> Column:
-    return c.rlike("[A-Za-z]")
-
-
-def needs_rebuild(name: Column, trans: Column, norm: Column) -> Column:
-    """A translated foreign name that is noisy, still Latin, or begins with a bare kind."""
-    starts = lambda c: c.rlike("^(?:" + "|".join([*GENERIC[:6], "国家", "中心"]) + ")") & (F.length(c) > 4)
-    return ~T.has_cjk(name) & (has_latin(trans) | has_latin(norm) | T.any_of(trans, NOISY) | norm.isin(*GENERIC) | starts(trans) | starts(norm))
-
-
-def falls_back(name: Column, norm: Column) -> Column:
-    """A word-level result too poor to keep: empty, generic, Latin, or a short bare kind."""
-    return (norm == "") | norm.isin(*GENERIC) | has_latin(norm) | (~T.has_cjk(name) & (F.length(norm) <= 4) & T.any_of(norm, GENERIC))
-
-
-def review_reasons(name: Column, count: Column, norm: Column, method: Column, n_countries: Column, main_share: Column) -> Column:
-    """Reasons to look at a result, in order, joined; '' for none."""
-    low = F.lower(name)
-    latin = (norm != "") & ~T.has_cjk(norm)
-    enterprise = T.any_of(low, ["petrochina", "sinopec", "cnpc", "cnooc", "oilfield", "company", "corp"])
-    stable = (name == norm) & T.has_cjk(norm)
-    short = low.rlike("^[a-z0-9]{1,6}$")
-    reasons = F.array(
-        F.when(norm == "", "empty_trans_or_norm"),
-        F.when(latin & ((count >= HIGH) | (enterprise & (count >= MEDIUM))), "norm_not_cjk"),
-        F.when(norm.isin(*GENERIC) & (count >= HIGH), "high_freq_auto_result"),
-        F.when((method != "exact") & (count >= HIGH) & ~stable & (latin | norm.isin(*GENERIC)), "top_freq_needs_review"),
-        F.when(enterprise & latin & (count >= MEDIUM), "generic_enterprise_alias"),
-        F.when((n_countries > 1) & (main_share < 0.9) & short & (count >= LOW), "same_name_country_disambiguation"),
-        F.when(F.contains(norm, F.lit("待区分")), "pending_disambiguation_label"),
-    )
-    return F.array_join(F.array_compact(reasons), " | ")
+def defects(name: Column, result: Column) -> Column:
+    """What is wrong with a Chinese rendering of a name, as an array of: missing, bare, latin, doubled, headless, stub.
+
+    ``bare`` is a kind of organisation and nothing else, ``doubled`` holds a kind twice running, ``headless`` begins with a
+    kind, ``stub`` is hardly longer than the kind it holds though the name isn't Chinese.
+    """
+    kinds = "|".join(GENERIC)
+    foreign = ~T.has_cjk(name)
+    found = {
+        "missing": F.length(result) == 0,
+        "bare": result.rlike(f"^(?:{kinds})$"),
+        "latin": result.rlike("[A-Za-z]"),
+        "doubled": result.rlike(f"({kinds})\\1"),
+        "headless": foreign & result.rlike(f"^(?:{kinds})..."),
+        "stub": foreign & result.rlike(f"^(?=.*(?:{kinds})).{{1,4}}$"),
+    }
+    return F.array_compact(F.array(*(F.when(holds, F.lit(label)) for label, holds in found.items())))
+
+
+#: Defects that a word-level result can't be kept with.
+FATAL = ["missing", "bare", "latin", "stub"]
+
+
+def signals(name: Column, norm: Column, method: Column, n_countries: Column, main_share: Column) -> dict[str, Column]:
+    """What is known of a result, by the names that REVIEW uses."""
+    chinese = T.has_cjk(norm)
+    return {
+        "missing": norm == "",
+        "foreign": (norm != "") & ~chinese,
+        "bare": norm.isin(*GENERIC),
+        "derived": (method != "exact") & ~((name == norm) & chinese),
+        "enterprise": T.any_of(F.lower(name), ENTERPRISE),
+        "scattered": (n_countries > 1) & (main_share < 0.9),
+        "acronym": F.lower(name).rlike("^[a-z0-9]{1,6}$"),
+        "pending": F.contains(norm, F.lit("待区分")),
+    }
+
+
+def review_reasons(known: dict[str, Column], count: Column, rules: list[tuple[str, tuple[str, ...], int]] | None = None) -> Column:
+    """Reasons of ``rules`` (REVIEW) that hold, in their order, each once, joined; '' for none."""
+    hits = []
+    for reason, wanted, least in rules or REVIEW:
+        holds = count >= least
+        for w in wanted:
+            holds = holds & known[w]
+        hits.append(F.when(holds, F.lit(reason)))
+    return F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), " | ")
 
 
 def translate_table(names: DataFrame, exact: DataFrame, keyed: DataFrame, shares: DataFrame) -> DataFrame:
     """``name, count`` with translation, norm, method and review: exact rule, else unique key, else Chinese as it is, else words, else raw."""
     rows = names.withColumn("_k", alias_key(F.col("name"))).join(exact.select("name", F.col("value").alias("_e")), "name", "left").join(keyed.select(F.col("key").alias("_k"), F.col("value").alias("_kv")), "_k", "left").join(shares.select("name", "n_countries", "main_share"), "name", "left")
     rows = rows.withColumn("_w", translate_words(F.col("name")))
-    rows = rows.withColumn("method", F.when(F.col("_e").isNotNull(), "exact").when(F.col("_kv").isNotNull(), "canonical").when(T.has_cjk("name"), "raw_cjk").when(~falls_back(F.col("name"), F.col("_w")), "auto_word_level").otherwise("raw_fallback"))
-    rows = rows.withColumn("norm", F.coalesce("_e", "_kv", F.when(F.col("method") == "auto_word_level", F.col("_w")).otherwise(F.col("name"))))
-    reason = review_reasons(F.col("name"), F.col("count"), F.col("norm"), F.col("method"), F.coalesce("n_countries", F.lit(0)), F.coalesce("main_share", F.lit(1.0)))
-    return rows.withColumn("review_reason", reason).select("name", "count", F.col("_w").alias("words"), "norm", "method", (F.col("review_reason") != "").cast("int").alias("review_flag"), "review_reason")
+    usable = ~F.arrays_overlap(defects(F.col("name"), F.col("_w")), F.array(*map(F.lit, FATAL)))
+    by_rank = [("exact", F.col("_e"), F.col("_e").isNotNull()), ("canonical", F.col("_kv"), F.col("_kv").isNotNull()), ("raw_cjk", F.col("name"), T.has_cjk("name")), ("auto_word_level", F.col("_w"), usable)]
+    method, norm = F.lit("raw_fallback"), F.col("name")
+    for label, value, holds in reversed(by_rank):
+        method, norm = F.when(holds, label).otherwise(method), F.when(holds, value).otherwise(norm)
+    rows = rows.withColumns({"method": method, "norm": norm})
+    known = signals(F.col("name"), F.col("norm"), F.col("method"), F.coalesce("n_countries", F.lit(0)), F.coalesce("main_share", F.lit(1.0)))
+    rows = rows.withColumn("review_reason", review_reasons(known, F.col("count")))
+    return rows.select("name", "count", F.col("_w").alias("words"), "norm", "method", (F.col("review_reason") != "").cast("int").alias("review_flag"), "review_reason")

@@ -198,6 +198,8 @@ def test_translation_rules(spark):
     t = spark.createDataFrame([("a", "1"), ("b", "2"), ("", "x")], "name string, value string")
     u = spark.createDataFrame([("a", "3"), ("a", "2"), (None, "4")], "name string, value string")
     assert sorted((r["name"], r["value"], r["priority"]) for r in X.assemble_rules([t, u]).collect()) == [("a", "3", 1), ("b", "2", 0)]
-    reason = X.review_reasons(F.col("a"), F.lit(120), F.col("b"), F.col("c"), F.lit(2), F.lit(0.5))
+    reason = X.review_reasons(X.signals(F.col("a"), F.col("b"), F.col("c"), F.lit(2), F.lit(0.5)), F.lit(120))
     assert one(spark, reason, "Delta Company", "Delta Company", "raw_fallback") == "norm_not_cjk | top_freq_needs_review | generic_enterprise_alias"
     assert one(spark, reason, "甲公司", "甲公司", "raw_cjk") == ""
+    wrong = X.defects(F.col("a"), F.col("b"))
+    assert [one(spark, wrong, "X Univ", r) for r in ("", "大学", "X大学", "石油大学大学", "大学石油系", "油大学", "奥斯伯里石油大学")] == [["missing"], ["bare", "stub"], ["latin", "stub"], ["doubled"], ["headless"], ["stub"], []]
