@@ -133,12 +133,33 @@ def split_packed(text: str | None, kind: str, known: ahocorasick.Automaton | Non
         value = _clean(text, kind)
         return [value] if value else []
     cuts.sort()
-    if all(c[2] for c in cuts):
+    if all(c[2] for c in cuts) and (known is None or next(known.iter(text), None) is None):
         bounds = [0, *(x for c in cuts for x in c[:2]), len(text)]
         return [v for v in (_clean(text[a:b], kind) for a, b in zip(bounds[::2], bounds[1::2])) if v]
     return _cover(text, kind, cuts, known)
 
 
+def whole_values(text: str, kind: str) -> list[str]:
+    """Values of a field that are whole beyond doubt: listed and quoted ones, and those between strong delimiters."""
+    values = split_packed(text, kind)
+    if text.lstrip()[:1] == "[" and text.lstrip()[1:2] in ("'", '"'):
+        return values
+    if '"' in text:
+        shield = _shielded(text, WEAK[kind])
+        quoted = {_clean(text[a:b], kind) for a, b in shield if text[a] == '"'}
+        return [v for v in values if v in quoted]
+    if "[" in text:
+        return []
+    return [v for v in (_clean(p, kind) for p in STRONG.split(text)) if v] if STRONG.search(text) else []
+
+
+def parts_of(value: str, kind: str) -> list[str]:
+    """What a value falls into at its delimiters; nothing if it holds none."""
+    pattern = STRONG if WEAK[kind] is None else re.compile(f"{STRONG.pattern}|{WEAK[kind].pattern}")
+    parts = [p.strip() for p in pattern.split(value)]
+    return [p for p in parts if p] if len(parts) > 1 else []
+
+
 def _cover(text: str, kind: str, cuts: list[tuple[int, int, bool]], known) -> list[str]:
     starts, ends = [0, *(c[1] for c in cuts)], [*(c[0] for c in cuts), len(text)]
     whole: set[tuple[int, int]] = set()

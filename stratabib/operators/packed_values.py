@@ -9,45 +9,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratabib.functions.packed import STRONG, WEAK, automaton, split_packed
+from stratabib.functions.packed import STRONG, automaton, parts_of, split_packed, whole_values
+from stratabib.runtime import BROADCAST_BOUND, stage
 
 KINDS = {"keywords_en": "keyword", "institution": "affiliation", "author": "person"}
-#: A value is known if it holds a delimiter and stands alone in at least this share of the fields (and MIN_COUNT of them):
-#: as a field holds few values, at most (values a field) / SUPPORT values are known, which bounds what is broadcast.
-SUPPORT, MIN_COUNT = 1e-4, 3
+#: A value that holds a delimiter is known if at least MIN_COUNT fields give it whole and, of its parts, none is met by
+#: itself over 1 / SHARE times as often on the least count: a chance neighbourhood of two common values isn't one value.
+MIN_COUNT, SHARE = 3, 0.1
 
 _OUT = pa.schema([("_id", pa.int64()), ("field_name", pa.string()), ("pos", pa.int32()), ("item", pa.string()), ("_n", pa.int32())])
 
 
-def _candidates(kind: str):
-    """Values between strong delimiters that hold a weak one: what a field with such delimiters shows to be whole."""
+def _undoubted(kind: str):
+    """Values that a field shows to be whole: quoted or listed ones, and what stands between strong delimiters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weak, counts, fields = WEAK[kind], Counter(), 0
+        schema, counts = pa.schema([("value", pa.string()), ("n", pa.int64())]), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                fields += 1
-                if weak is None or not weak.search(text):
-                    continue
-                if STRONG.search(text) or text[:2] in ("['", '["'):
-                    counts.update({v for v in split_packed(text, kind) if weak.search(v)} if text[0] == "[" else {v for v in map(str.strip, STRONG.split(text)) if weak.search(v) and '"' not in v})
-        counts[""] = fields
-        yield pa.RecordBatch.from_pydict({"value": list(counts), "n": list(counts.values())}, schema=pa.schema([("value", pa.string()), ("n", pa.int64())]))
+                if text and (STRONG.search(text) or '"' in text or text[0] == "["):
+                    counts.update(set(whole_values(text, kind)))
+            if len(counts) > 300_000:
+                yield pa.RecordBatch.from_pydict({"value": list(counts), "n": list(counts.values())}, schema=schema)
+                counts.clear()
+        yield pa.RecordBatch.from_pydict({"value": list(counts), "n": list(counts.values())}, schema=schema)
 
     return run
 
 
-def known_values(df: DataFrame, column: str, kind: str, support: float = SUPPORT, min_count: int = MIN_COUNT) -> list[str]:
-    """Whole values of a column that contain weak delimiters, learned from all its strongly delimited fields.
+def _cut(kind: str):
+    """Values that hold a delimiter, a row per part."""
 
-    Counts are combined inside each task before they are shuffled; the list is bounded by ``support``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(v, n, p) for v, n in zip(*(c.to_pylist() for c in batch.columns)) for p in parts_of(v, kind)]
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], names=["value", "n", "part"])
+
+    return run
+
+
+def known_values(df: DataFrame, column: str, kind: str, share: float = SHARE, min_count: int = MIN_COUNT) -> list[str]:
+    """Whole values of a column that contain delimiters, learned from all fields that leave no doubt about a value.
+
+    Counts are combined inside each task before they are shuffled. The rule compares counts with each other, so it is
+    alike at every size. The list is broadcast as an automaton: beyond BROADCAST_BOUND characters it is refused.
     """
-    counts = df.select(F.col(column).cast("string")).mapInArrow(_candidates(kind), "value string, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-    total = counts.filter("value = ''").agg(F.coalesce(F.max("n"), F.lit(0)).alias("fields"))
-    rows = counts.filter("value <> ''").crossJoin(F.broadcast(total)).filter((F.col("n") >= min_count) & (F.col("n") >= support * F.col("fields")))
-    return sorted(r["value"] for r in rows.select("value").collect())
+    counts = stage(df.select(F.col(column).cast("string")).mapInArrow(_undoubted(kind), "value string, n bigint").groupBy("value").agg(F.sum("n").alias("n")), "values-met")
+    met = counts.df
+    cut = met.filter(F.col("n") >= min_count).mapInArrow(_cut(kind), "value string, n bigint, part string")
+    alone = cut.join(met.select(F.col("value").alias("part"), F.col("n").alias("m")), "part", "left").groupBy("value").agg(F.first("n").alias("n"), F.min(F.coalesce("m", F.lit(0))).alias("m"))
+    found = stage(alone.filter(F.col("n") >= share * F.col("m")).select("value"), "values-known")
+    size = found.df.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0]
+    if size > BROADCAST_BOUND:
+        raise ValueError(f"{column}: known values of {size} characters")
+    known = sorted(r["value"] for r in found.df.collect())
+    counts.drop()
+    found.drop()
+    return known
 
 
 def _splitter(fields: dict[str, str], known: dict[str, list[str]], keep_single: bool):
@@ -83,7 +102,7 @@ def split_fields(df: DataFrame, id_col: str = "rec_id", fields: dict[str, str] |
     than the named ones, whatever they are called, are not read. An empty table gives an empty result.
     """
     fields = fields or KINDS
-    known = {name: known_values(df, name, kind) if WEAK[kind] is not None and kind != "person" else [] for name, kind in fields.items()}
+    known = {name: known_values(df, name, kind) for name, kind in fields.items()}
     rows = df.select(F.col(id_col).cast("bigint").alias("_id"), *(F.col(name).cast("string").alias(f"_f{i}") for i, name in enumerate(fields)))
     out = rows.mapInArrow(_splitter(fields, known, keep_single), "_id bigint, field_name string, pos int, item string, _n int")
     return out.select(F.col("_id").alias(id_col), "field_name", "pos", "item")

@@ -64,6 +64,24 @@ def test_known_values_are_learned(spark):
     assert known_values(df, "k", "keyword") == ["b, c"]
 
 
+def test_a_chance_neighbourhood_is_no_value(spark):
+    """The rule weighs counts against each other: ten times the rows give the same values."""
+    rows = [("a; b, c; d",)] * 4 + [("b; e",)] * 90 + [("c; f; x-1,2",)] * 90
+    for times in (1, 10):
+        df = spark.createDataFrame(rows * times, "k string")
+        assert known_values(df, "k", "keyword") == ["x-1,2"]
+
+
+def test_known_values_protect_strong_delimiters(spark):
+    """A value quoted elsewhere keeps its delimiter where nobody quoted it; without the dictionary it would be cut."""
+    rows = [(i, None, '"Dept A; Unit 2, Riga"; Inst B, Oslo', None) for i in range(3)] + [(9, "m; n", "Inst B, Oslo; Dept A; Unit 2, Riga", "Li, Wei, Chu, Yi")]
+    rows += [(20 + i, None, None, "Li, Wei; Chu, Yi") for i in range(3)]
+    df = spark.createDataFrame(rows, "rec_id bigint, keywords_en string, institution string, author string")
+    got = sorted((r["field_name"], r["pos"], r["item"]) for r in split_fields(df).filter("rec_id = 9").collect())
+    assert got == [("author", 1, "Li, Wei"), ("author", 2, "Chu, Yi"), ("institution", 1, "Inst B, Oslo"), ("institution", 2, "Dept A; Unit 2, Riga"), ("keywords_en", 1, "m"), ("keywords_en", 2, "n")]
+    assert split_packed("Inst B, Oslo; Dept A; Unit 2, Riga", "affiliation") == ["Inst B, Oslo", "Dept A", "Unit 2, Riga"]
+
+
 FEED = ("Europe/Berlin", "DMY")
 
 
