@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratabib.functions import text as T
+from stratabib.operators.ranges import row_numbers
 
 MERGE, MANUAL, KEEP = "建议合并", "需人工判断", "建议保留"
 #: Title words of corrections, honours and front matter (fixed values).
@@ -27,7 +28,8 @@ def candidate_groups(df: DataFrame, key: str, order: list[str], prefix: str, dis
     """
     count = F.count_distinct(F.nullif(F.col(distinct), F.lit(""))) if distinct else F.count(F.lit(1))
     groups = df.filter(F.col(key) != "").groupBy(key).agg(count.alias("_n"), *(F.min(c).alias(f"_o{i}") for i, c in enumerate(order))).filter("_n > 1")
-    numbered = groups.withColumn("group_id", F.format_string(f"{prefix}%03d", F.row_number().over(W.orderBy(*(f"_o{i}" for i in range(len(order))), key)))).select(key, "group_id")
+    placed = row_numbers(groups, [*(f"_o{i}" for i in range(len(order))), key], "_place")
+    numbered = placed.select(key, F.format_string(f"{prefix}%03d", F.col("_place")).alias("group_id"))
     rows = df.join(numbered, key)
     return rows.withColumns({"row_no": F.row_number().over(W.partitionBy("group_id").orderBy(*order, *[c for c in ("row_id", "rec_id") if c in df.columns])), "group_rows": F.count(F.lit(1)).over(W.partitionBy("group_id"))})
 

@@ -136,10 +136,3 @@ def recode_list(c: Column, codes: dict[str, str], sep: str = "|", out: str = "|"
 def signature(*columns: str) -> Column:
     """A document's natural key: fields compacted, lower case, joined by '||'."""
     return F.concat_ws("||", *(F.lower(T.compact(T.text_or_empty(c))) for c in columns))
-
-
-def numbered_groups(df: DataFrame, key: str, order: list[Column], prefix: str) -> DataFrame:
-    """``(key, group_id)`` like R001, numbered by an order over distinct keys."""
-    keys = df.groupBy(key).agg(*(F.min(c).alias(f"_o{i}") for i, c in enumerate(order)))
-    rank = F.row_number().over(W.orderBy(*(f"_o{i}" for i in range(len(order))), key))
-    return keys.select(key, F.format_string(f"{prefix}%03d", rank).alias("group_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from stratabib.functions import text as T
@@ -30,7 +32,7 @@ def csv_round_trip(spark, d):
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     cols = ["rec_id", "title_en", "author", "institution", "keywords_en"]
     D.write_table(table(spark, d, MERGED).select("rec_id", *(T.text_or_empty(c).alias(c) for c in cols[1:])), path)
-    return D.read_table(spark, path, encoding="utf-8", columns=cols).withColumn("rec_id", F.col("rec_id").cast("bigint"))
+    return D.read_table(spark, path, encoding="utf-8", columns=cols, line_breaks=True).withColumn("rec_id", F.col("rec_id").cast("bigint"))
 
 
 SQL_ROUND = f"SELECT rec_id, {', '.join(f'{S.text(c)} AS {c}' for c in ('title_en', 'author', 'institution', 'keywords_en'))} FROM {MERGED}"
@@ -67,18 +69,42 @@ def events_windowed(spark, d):
 SQL_WINDOWED = "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
-def events_streamed(spark, d):
-    """The same windows from a stream with a watermark, through a checkpointed table."""
+def _streamed(spark, d, make):
+    """What a stream of events writes under a watermark: its rows alone, when events after the last have closed all windows."""
     import uuid
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    source = f"{base}/in"
-    events.write.parquet(source)
-    V.run_to_table(V.windowed(V.stream_of(spark, source, events.schema), "1 hour", late="60 days"), f"{base}/out", f"{base}/checkpoint")
-    # windows still open at the end of the stream are read from the table, as a stream never closes them
-    closed = spark.read.schema("window_start timestamp, event_type string, n bigint, total double").parquet(f"{base}/out")
-    return V.windowed(events, "1 hour").join(closed.select("window_start", "event_type"), ["window_start", "event_type"], "left_anti").unionByName(closed)
+    last = events.agg(F.max("ts")).first()[0] or datetime(2000, 1, 1)
+    closing = spark.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in events.dtypes))
+    closing.limit(0).write.parquet(f"{base}/closing")
+    stream = V.stream_of(spark, f"{d}/[e]vents.parquet", table(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    made = make(stream.unionByName(V.stream_of(spark, f"{base}/closing", events.schema)))
+    V.run_to_table(made, f"{base}/out", f"{base}/checkpoint")
+    for k in (1, 2):  # the first moves the watermark on, with the second what it closed is written
+        closing.withColumn("ts", F.lit(last + timedelta(days=100 * k))).write.mode("append").parquet(f"{base}/closing")
+        V.run_to_table(made, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(made.schema).parquet(f"{base}/out")
+
+
+def events_streamed(spark, d):
+    """Events per hour and type from a stream with a watermark."""
+    return _streamed(spark, d, lambda s: V.windowed(s, "1 hour", late="60 days")).filter("event_type is not null")
+
+
+def events_sliding(spark, d):
+    """Events per hour and type every half hour, from a stream."""
+    return _streamed(spark, d, lambda s: V.windowed(s, "1 hour", "30 minutes", late="60 days")).filter("event_type is not null")
+
+
+SQL_SLIDING = """WITH h AS (SELECT to_timestamp(CAST(floor(epoch(ts) / 1800) AS BIGINT) * 1800)::TIMESTAMP AS s, event_type, value FROM events),
+w AS (SELECT s AS window_start, event_type, value FROM h UNION ALL SELECT s - INTERVAL 30 MINUTE, event_type, value FROM h)
+SELECT window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2"""
+
+
+def sessions_streamed(spark, d):
+    """Sessions of users from a stream."""
+    return _streamed(spark, d, lambda s: V.sessions(s, "30 minutes", late="60 days")).filter("user_id is not null")
 
 
 def user_sessions(spark, d):
@@ -92,7 +118,7 @@ SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS session_start, CAST(max(ts) + INTE
 
 _ALL = {
     "row_partition_ids": (row_partition_ids, SQL_PARTS), "csv_round_trip": (csv_round_trip, SQL_ROUND), "seeded_sample": (seeded_sample, ""), "top_cited": (top_cited, SQL_CITED), "weekly_index": (weekly_index, SQL_WEEKLY),
-    "events_windowed": (events_windowed, SQL_WINDOWED), "events_streamed": (events_streamed, SQL_WINDOWED), "user_sessions": (user_sessions, SQL_SESSIONS),
+    "events_windowed": (events_windowed, SQL_WINDOWED), "events_streamed": (events_streamed, SQL_WINDOWED), "events_sliding": (events_sliding, SQL_SLIDING), "sessions_streamed": (sessions_streamed, SQL_SESSIONS), "user_sessions": (user_sessions, SQL_SESSIONS),
 }
 
 

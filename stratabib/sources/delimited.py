@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-#: Encodings tried in order when none is given.
-GUESSES = ("utf-8-sig", "utf-8", "gb18030")
-#: Spark's name for each.
+from stratabib.operators.ranges import in_own_order, row_numbers
+
+#: Spark's name for an encoding.
 _SPARK = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gb18030": "GB18030"}
-PROBE = 1 << 20
 
 
-def guess_encoding(spark: SparkSession, path: str, guesses: tuple[str, ...] = GUESSES) -> str:
-    """The first encoding that decodes the head of the first file; a character cut at the probe's end doesn't count against it."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, PROBE)).first()
-    raw = bytes(head[0]) if head and head[0] is not None else b""
-    for name in guesses:
-        for cut in range(4):
-            try:
-                (raw[: len(raw) - cut] if cut else raw).decode(name)
-                return name
-            except UnicodeDecodeError as e:
-                if e.end < len(raw) - 3:
-                    break
-    return guesses[0]
+def encodings(spark: SparkSession, path: str, glob: str | None = None) -> dict[str, str]:
+    """Encoding of each file: utf-8 if every line of it decodes so, else gb18030. Whole files are read, as lines."""
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    lines = reader.text(path).select(F.input_file_name().alias("file"), (~F.is_valid_utf8("value")).alias("odd"))
+    return {r["file"]: "gb18030" if r["odd"] else "utf-8" for r in lines.groupBy("file").agg(F.max("odd").alias("odd")).collect()}
+
+
+def guess_encoding(spark: SparkSession, path: str) -> str:
+    """The one encoding of all files; an error if they differ."""
+    found = set(encodings(spark, path).values()) or {"utf-8"}
+    if len(found) > 1:
+        raise ValueError(f"{path}: files in several encodings")
+    return found.pop()
 
 
 def header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
@@ -37,20 +36,31 @@ def header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-
     return [n.lstrip("﻿") for n in names]
 
 
-def read_table(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, glob: str | None = None, columns: list[str] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None, glob: str | None = None, columns: list[str] | None = None, line_breaks: bool = False) -> DataFrame:
     """A delimited table with a header, every column text, missing cells ''.
 
-    Quoted cells may hold line breaks and doubled quotes and may be as long as they like; bytes that don't decode
-    become U+FFFD. ``columns`` declares the schema, which spares a look at the files.
+    Without ``encoding`` each file is read in its own. Cells may be as long as they like and hold doubled quotes; only with
+    ``line_breaks`` may they hold line breaks, as a file is then read by one task. Bytes that don't decode become U+FFFD.
+    ``columns`` declares the schema, which spares a look at the files.
     """
-    name = encoding or guess_encoding(spark, path)
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", _SPARK.get(name, name)).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1)
+    if encoding is None:
+        groups: dict[str, list[str]] = {}
+        for file, name in sorted(encodings(spark, path, glob).items()):
+            groups.setdefault(name, []).append(file)
+        if len(groups) > 1:
+            tables = [read_table(spark, files, sep, name, None, columns, line_breaks) for name, files in groups.items()]
+            out = tables[0]
+            for t in tables[1:]:
+                out = out.unionByName(t, allowMissingColumns=True)
+            return out.na.fill("")
+        encoding = next(iter(groups), "utf-8")
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", _SPARK.get(encoding, encoding)).option("multiLine", line_breaks).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if columns:
         reader = reader.schema(Ty.StructType([Ty.StructField(c, Ty.StringType()) for c in columns]))
     df = reader.csv(path)
-    return df.toDF(*(c.lstrip("﻿") for c in df.columns)).na.fill("")
+    return df.toDF(*(c.lstrip("\ufeff") for c in df.columns)).na.fill("")
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
@@ -60,8 +70,7 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, name: str = "row_seq") -> DataFrame:
     """Rows numbered from 1 in the table's own order: by partition, then within, without gathering rows anywhere."""
-    schema = Ty.StructType([*df.schema.fields, Ty.StructField(name, Ty.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    return in_own_order(df, name)
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -94,9 +103,13 @@ def lexicon_path(exists, expanded: tuple[str, str], base: tuple[str, str], marke
     return ("expanded", expanded) if all(map(exists, expanded)) else ("base", base)
 
 
-def write_table(df: DataFrame, path: str, fields: list[str] | None = None, encoding: str = "UTF-8", files: int | None = None) -> None:
-    """With header and in the given column order; GB18030 needs the session's javaCharsets setting."""
+def write_table(df: DataFrame, path: str, fields: list[str] | None = None, encoding: str = "UTF-8", files: int | None = None, mark: bool = False) -> None:
+    """With header and in the given column order; GB18030 needs the session's javaCharsets setting.
+
+    ``mark`` sets a byte-order mark before the first column's name, as the mark stands before everything else of a file.
+    """
     out = df.select(*fields) if fields else df
+    out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0]) if mark else out
     out = out.coalesce(files) if files else out
     out.write.mode("overwrite").option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').csv(path)
 
@@ -113,19 +126,26 @@ def write_in_parts(df: DataFrame, path: str, rows_per_file: int) -> None:
 
 
 def part_ids(df: DataFrame, order: list[str], rows_per_part: int, block: int = 100_000) -> DataFrame:
-    """Adds ``part``: rows in order, so many a part, the last one short.
+    """Adds ``part``: rows in order, so many a part, the last one short; no task holds more than a block."""
+    return row_numbers(df, order, "_r", block).withColumn("part", (F.floor((F.col("_r") - 1) / rows_per_part) + 1).cast("bigint")).drop("_r")
+
+
+def rewrite(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
+    """Replace the table at ``path``, which ``df`` may be read from: written beside it, then swapped by two renames.
 
-    Order is found by range: rows are counted per range block, blocks are offset by the counts before them, and only
-    within a block are rows numbered, so no task holds more than a block.
+    Whatever fails before the swap leaves the old table as it was.
     """
-    n = max(1, df.count() // block)
-    ranged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    from stratabib.runtime import stage
-
-    kept = stage(ranged, "part-blocks").df
-    offset = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rows = kept.join(F.broadcast(offset.select("_p", "_off")), "_p").withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)) + F.col("_off"))
-    return rows.withColumn("part", (F.floor((F.col("_r") - 1) / rows_per_part) + 1).cast("bigint")).drop("_p", "_off", "_r")
+    spark = df.sparkSession
+    write(df, f"{path}.new")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, now, old = (hadoop.Path(path + end) for end in (".new", "", ".old"))
+    if fs.exists(now) and not fs.rename(now, old):
+        raise OSError(f"{path} can't be set aside")
+    if not fs.rename(new, now):
+        fs.rename(old, now)
+        raise OSError(f"{path}.new can't take the place of {path}")
+    fs.delete(old, True)
 
 
 def versioned(path: str, at: datetime) -> str:

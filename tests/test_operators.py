@@ -174,7 +174,7 @@ def test_delimited_tables(spark, tmp_path):
 
     path = tmp_path / "t.csv"
     path.write_bytes('﻿名称,note\r\n石油大学,"two\nlines, ""quoted"""\r\n'.encode())
-    df = D.read_table(spark, str(path))
+    df = D.read_table(spark, str(path), line_breaks=True)
     assert [tuple(r) for r in df.collect()] == [("石油大学", 'two\nlines, "quoted"')] and df.columns == ["名称", "note"]
     gb = tmp_path / "g.csv"
     gb.write_bytes("名称\n石油大学\n".encode("gb18030"))
@@ -182,12 +182,62 @@ def test_delimited_tables(spark, tmp_path):
     (tmp_path / "w.txt").write_text("Alpha\n;note\n\n beta \n")
     assert sorted(r[0] for r in D.read_words(spark, str(tmp_path / "w.txt")).collect()) == ["alpha", "beta"]
     D.write_table(df, str(tmp_path / "out"), encoding="GB18030")
-    assert D.read_table(spark, str(tmp_path / "out"), encoding="gb18030").first()[0] == "石油大学"
+    assert D.read_table(spark, str(tmp_path / "out"), encoding="gb18030", line_breaks=True).first()[0] == "石油大学"
     parts = D.part_ids(spark.range(10).withColumnRenamed("id", "k"), ["k"], 4, block=3)
     assert sorted((r["k"], r["part"]) for r in parts.collect()) == [(k, k // 4 + 1) for k in range(10)]
     assert D.lexicon_path({"e1"}.__contains__, ("e1", "e2"), ("b1", "b2"))[0] == "base"
 
 
+def test_files_in_several_encodings(spark, tmp_path):
+    """Each file is read in its own encoding, judged by all its lines; a mark at the head is no part of a name."""
+    from stratabib.sources import delimited as D
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_bytes("k,v\n1,石油大学\n".encode("gb18030"))
+    (tmp_path / "in/b.csv").write_bytes(("\ufeffk,v\n" + "2,plain\n" * 50_000 + "3,海洋学院\n").encode())
+    got = {r["k"]: r["v"] for r in D.read_table(spark, str(tmp_path / "in")).collect()}
+    assert got == {"1": "石油大学", "2": "plain", "3": "海洋学院"}
+    D.write_table(spark.createDataFrame([("1", "x")], "k string, v string"), str(tmp_path / "marked"), mark=True)
+    assert next((tmp_path / "marked").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbfk,v")
+
+
+def test_rewrite_in_place(spark, tmp_path):
+    from stratabib.sources import delimited as D
+
+    path = str(tmp_path / "t")
+    D.write_table(spark.createDataFrame([("1", "x"), ("2", "y")], "k string, v string"), path)
+    D.rewrite(D.read_table(spark, path).filter("k = '2'"), path, D.write_table)
+    assert [tuple(r) for r in D.read_table(spark, path).collect()] == [("2", "y")] and not (tmp_path / "t.old").exists()
+
+
+def test_row_numbers_over_blocks(spark):
+    from stratabib.operators.ranges import in_own_order, row_numbers
+
+    df = spark.range(200).withColumn("k", (F.col("id") * 37) % 200).repartition(7)
+    got = {r["k"]: r["n"] for r in row_numbers(df, ["k"], "n", block=30).collect()}
+    assert got == {k: k + 1 for k in range(200)}
+    own = in_own_order(spark.range(100, numPartitions=6), "n").collect()
+    assert sorted(r["n"] for r in own) == list(range(1, 101)) and all(r["n"] == r["id"] + 1 for r in own)
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """An event behind the watermark is not counted; windows that the watermark passed are written."""
+    from stratabib.streaming import windows as V
+
+    rows = lambda *ts: spark.createDataFrame([(t, "a", 1.0) for t in ts], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    source = str(tmp_path / "in")
+    schema = rows("2024-01-01 00:00:00").schema
+    rows("2024-01-01 00:10:00", "2024-01-01 05:00:00").coalesce(1).write.parquet(source)
+    run = lambda: V.run_to_table(V.windowed(V.stream_of(spark, source, schema), "1 hour", late="1 hour"), str(tmp_path / "out"), str(tmp_path / "check"))
+    run()
+    rows("2024-01-01 00:20:00", "2024-01-01 09:00:00").coalesce(1).write.mode("append").parquet(source)
+    run()
+    rows("2024-01-02 00:00:00").coalesce(1).write.mode("append").parquet(source)
+    run()
+    got = sorted((str(r["window_start"]), r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got[:2] == [("2024-01-01 00:00:00", 1), ("2024-01-01 05:00:00", 1)] and len(got) >= 3
+
+
 def test_translation_rules(spark):
     from stratabib.operators import translation as X
 
