@@ -14,7 +14,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,6 +115,11 @@ def min_cost_flow(supply: dict, quota: dict[str, int], repeats: dict[str, int])
     return {key: e[3][1] for key, e in routed.items() if e[3][1] > 0}
 
 
+def _local(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """A few rows as a table, without a task to make them."""
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}))
+
+
 class Mix:
     """A solved mix: ``shares`` reports, ``documents`` gives each document's copies."""
 
@@ -143,7 +148,7 @@ class Mix:
         for s, (share, repeats) in sorted(self.plan.items()):
             own = sum(t for p, t in self.supply.items() if s in p)
             rows.append((s, share, own, repeats, self.quota[s], routed[s], routed[s] / whole if whole else 0.0, routed[s] < self.quota[s]))
-        return self.spark.createDataFrame(rows, "source string, target_share double, own_tokens bigint, max_repeats int, quota_tokens bigint, mix_tokens bigint, reached_share double, falls_short boolean")
+        return _local(self.spark, rows, {"source": pa.string(), "target_share": pa.float64(), "own_tokens": pa.int64(), "max_repeats": pa.int32(), "quota_tokens": pa.int64(), "mix_tokens": pa.int64(), "reached_share": pa.float64(), "falls_short": pa.bool_()})
 
     def documents(self, id_col: str = "doc_id") -> DataFrame:
         """``(id_col, source, copies, tokens)`` of every document in the mix, once per source it serves."""
@@ -161,13 +166,24 @@ class Mix:
         for (p, s), tokens in sorted(self.flow.items()):
             routes.append(("\u0001".join(p), s, start.get(p, 0), start.get(p, 0) + tokens, self.supply[p]))
             start[p] = start.get(p, 0) + tokens
-        route = spark.createDataFrame(routes, "_p string, source string, _from bigint, _to bigint, _line bigint")
+        route = _local(spark, routes, {"_p": pa.string(), "source": pa.string(), "_from": pa.int64(), "_to": pa.int64(), "_line": pa.int64()})
         # copies: how many times the repeated line passes the document's place inside the source's stretch
         copies = F.greatest(F.lit(0), F.ceil((F.col("_to") - F.col("_at")) / F.col("_line"))) - F.greatest(F.lit(0), F.ceil((F.col("_from") - F.col("_at")) / F.col("_line")))
         out = placed.join(F.broadcast(route), "_p").withColumn("copies", copies.cast("int")).filter("copies > 0")
         return out.select(F.col("_id").alias(id_col), "source", "copies", F.col("_tokens").alias("tokens"))
 
 
+def texts_with_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``(id_col, text_col, members)``: each distinct text once, under its smallest id, with all sources it stands in.
+
+    Combined inside each task before the shuffle, so a text with many copies is no burden. A missing text is kept apart by id.
+    """
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(source_col).cast("string").alias("_source"))
+    key = F.coalesce(F.sha2("_text", 256), F.col("_id").cast("string"))
+    groups = keyed.groupBy(key.alias("_k")).agg(F.min("_id").alias("_id"), F.array_sort(F.collect_set("_source")).alias("members"))
+    return groups.select("_id", "members").join(keyed.select("_id", "_text").dropDuplicates(["_id"]), "_id").select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "members")
+
+
 def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", members=None, seed: int = 7, tokenizer: str = TOKENIZER, mix_tokens: int | None = None) -> Mix:
     """Solve a mix as large as all documents in tokens (or ``mix_tokens``).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratabib.llm.components import group_rows
 from stratabib.llm.leakage import find_leaks
 from stratabib.llm.linkage import link_records
-from stratabib.llm.mixing import mix_sources
+from stratabib.llm.mixing import mix_sources, texts_with_sources
 from stratabib.llm.mojibake import find_garbled
 from stratabib.llm.survivors import survivors, surviving_records
 from stratabib.llm.truncation import find_truncated
@@ -91,6 +91,23 @@ def p9_documents(spark, sf_dir):
     return _mix(spark, sf_dir).documents()
 
 
+def _shared_mix(spark, sf_dir):
+    docs = texts_with_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(docs, table(spark, sf_dir, "mix_targets"), members=F.col("members"))
+
+
+def p9_shared_shares(spark, sf_dir):
+    """The mix when each text is used for all sources it stands in: overlapping sources share their tokens by the flow."""
+    return _shared_mix(spark, sf_dir).shares()
+
+
+def p9_shared_reached(spark, sf_dir):
+    """Tokens that the chosen documents really give each source, beside what the flow meant them to."""
+    mix = _shared_mix(spark, sf_dir)
+    given = mix.documents().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("given_tokens"))
+    return mix.shares().select("source", "mix_tokens").join(given, "source", "left").select("source", "mix_tokens", F.coalesce("given_tokens", F.lit(0)).alias("given_tokens"))
+
+
 def _ends(spark, sf_dir):
     return find_truncated(table(spark, sf_dir, "documents"))
 

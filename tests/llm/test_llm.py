@@ -334,6 +334,24 @@ def test_mix(spark):
     assert all(r["mix_tokens"] == 0 for r in mixing.mix_sources(docs.limit(0), targets).shares().collect())
 
 
+def test_texts_shared_by_sources(spark):
+    """A text that stands in two sources serves both: with its sources taken apart, one of them falls short."""
+    rows = [(i, f"w{i} " * 5, "a") for i in range(40)] + [(100 + i, f"w{i} " * 5, "b") for i in range(30)] + [(200, None, "b"), (201, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("members", F.lit("clash"))
+    shared = mixing.texts_with_sources(docs)
+    got = {r["doc_id"]: r["members"] for r in shared.collect()}
+    assert got[0] == ["a", "b"] and got[39] == ["a"] and got[200] == ["b"] and got[201] == ["a"] and 100 not in got
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mix = mixing.mix_sources(shared, targets, members=F.col("members"))
+    assert ("a", "b") in mix.supply and sum(t for (p, s), t in mix.flow.items() if len(p) > 1) > 0
+    assert not any(r["falls_short"] for r in mix.shares().collect())
+    apart = mixing.mix_sources(shared, targets, members=F.slice("members", 1, 1))
+    assert any(r["falls_short"] for r in apart.shares().collect())
+    used = mix.documents().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()
+    reached = {r["source"]: r["mix_tokens"] for r in mix.shares().collect()}
+    assert all(abs(r["t"] - reached[r["source"]]) <= 20 for r in used)
+
+
 # -- truncation ---------------------------------------------------------------------------------------
 
 
