@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratabib.functions.packed import STRONG, automaton, parts_of, split_packed, whole_values
-from stratabib.runtime import BROADCAST_BOUND, stage
+from stratabib.runtime import BROADCAST_BOUND, spread, stage
 
 KINDS = {"keywords_en": "keyword", "institution": "affiliation", "author": "person"}
 #: A value that holds a delimiter is known if at least MIN_COUNT fields give it whole and, of its parts, none is met by
@@ -55,7 +55,7 @@ def known_values(df: DataFrame, column: str, kind: str, share: float = SHARE, mi
     Counts are combined inside each task before they are shuffled. The rule compares counts with each other, so it is
     alike at every size. The list is broadcast as an automaton: beyond BROADCAST_BOUND characters it is refused.
     """
-    counts = stage(df.select(F.col(column).cast("string")).mapInArrow(_undoubted(kind), "value string, n bigint").groupBy("value").agg(F.sum("n").alias("n")), "values-met")
+    counts = stage(spread(df.select(F.col(column).cast("string"))).mapInArrow(_undoubted(kind), "value string, n bigint").groupBy("value").agg(F.sum("n").alias("n")), "values-met")
     met = counts.df
     cut = met.filter(F.col("n") >= min_count).mapInArrow(_cut(kind), "value string, n bigint, part string")
     alone = cut.join(met.select(F.col("value").alias("part"), F.col("n").alias("m")), "part", "left").groupBy("value").agg(F.first("n").alias("n"), F.min(F.coalesce("m", F.lit(0))).alias("m"))
@@ -104,5 +104,5 @@ def split_fields(df: DataFrame, id_col: str = "rec_id", fields: dict[str, str] |
     fields = fields or KINDS
     known = {name: known_values(df, name, kind) for name, kind in fields.items()}
     rows = df.select(F.col(id_col).cast("bigint").alias("_id"), *(F.col(name).cast("string").alias(f"_f{i}") for i, name in enumerate(fields)))
-    out = rows.mapInArrow(_splitter(fields, known, keep_single), "_id bigint, field_name string, pos int, item string, _n int")
+    out = spread(rows).mapInArrow(_splitter(fields, known, keep_single), "_id bigint, field_name string, pos int, item string, _n int")
     return out.select(F.col("_id").alias(id_col), "field_name", "pos", "item")

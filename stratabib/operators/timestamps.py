@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratabib.functions.dates import readings
-from stratabib.runtime import stage
+from stratabib.runtime import spread, stage
 
 SWITCH, BACKWARD = 0.4, 0.2
 #: Records of a block at least, and blocks at most: each gives one row of a few numbers to the driver.
@@ -149,7 +149,7 @@ def normalise_timestamps(
     rows = df.select(
         F.col(id_col).cast("bigint").alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(value_col).cast("string").alias("_raw"), F.col(year_col).cast("string").alias("_year")
     ).filter("_raw is not null and trim(_raw) not in ('', 'nan')")
-    rows = rows.join(feed, rows["_source"] == feed["_s"], "left").select("_id", "_source", "_raw", "_year", "_f.zone_name", "_f.slash_order")
+    rows = spread(rows).join(feed, rows["_source"] == feed["_s"], "left").select("_id", "_source", "_raw", "_year", "_f.zone_name", "_f.slash_order")
     read = stage(rows.mapInArrow(_read, _CANDIDATES_DDL), "date-readings").df
 
     total = read.count()

@@ -11,7 +11,7 @@ from stratabib.operators import institutions as N
 from stratabib.operators import mcdm as M
 from stratabib.operators import translation as X
 from stratabib.plans import sql as S
-from stratabib.runtime import stage, table
+from stratabib.runtime import spread, stage, table
 
 MERGED, RULES = "merge_three_db", "institution_wikidata_lookup_rules__20260424_132702"
 SOURCES = ["CNKI", "WOS", "CSCD"]
@@ -26,7 +26,7 @@ def _merged(spark, d):
 
 def _blocks(spark, d):
     """Address blocks as ``rec_id, source_db, name, country``: the name is the part before the first comma."""
-    df = _merged(spark, d)
+    df = spread(_merged(spark, d).select("rec_id", "source_db", "institution"))
     blocks = N.wos_blocks(F.regexp_replace(T.text_or_empty("institution"), "；", ";"))
     long = df.select("rec_id", "source_db", F.explode(blocks).alias("b"))
     tail = F.trim(F.element_at(F.split("b", ","), -1))
@@ -231,7 +231,7 @@ SELECT * FROM f WHERE regexp_matches(name, '^\d+\s*[A-Za-z]') OR regexp_matches(
 
 def _bridge(spark, d):
     """Papers, their norm names, and those names' countries."""
-    pairs = _blocks(spark, d).join(_mapping(spark, d), "name").select(F.col("rec_id").alias("paper"), F.col("norm").alias("inst"), "country", F.col("rec_id").alias("seq"))
+    pairs = stage(_blocks(spark, d).join(_mapping(spark, d), "name").select(F.col("rec_id").alias("paper"), F.col("norm").alias("inst"), "country", F.col("rec_id").alias("seq")), "paper-institutions").df
     papers = _merged(spark, d).select(F.col("rec_id").alias("paper"), F.col("source_db").alias("source"), T.year_int("year").alias("year"), T.to_float("cited_count").alias("cited"))
     return papers, pairs.select("paper", "inst").distinct(), pairs
 
@@ -288,7 +288,8 @@ SELECT i.inst, coalesce(b.country, 'China') AS home_country FROM (SELECT DISTINC
 
 def _impact(spark, d):
     papers, bridge, pairs = _bridge(spark, d)
-    return I.impact(papers, bridge, pairs, _top(spark, d).select(F.col("norm").alias("inst")), START, END, BUCKETS)
+    top = stage(_top(spark, d).select(F.col("norm").alias("inst")), "top-institutions").df
+    return I.impact(papers, bridge, pairs, top, START, END, BUCKETS)
 
 
 IMPACT = ["inst", "paper_count", "paper_count_cnki", "paper_count_wos", "paper_count_cscd", "first_year", "last_year", "active_years", "paper_count_2011_2015", "paper_count_2016_2020", "paper_count_2021_2025", "total_citations", "max_citations", "median_citations", "cited_papers", "high_cited_papers", "h_index", "home_country", "collaboration_paper_count", "partner_total", "partner_institution_count", "international_papers", "international_partners", "partner_countries", "annual_papers", "recent_ratio", "citations_per_paper", "cited_ratio", "high_cited_ratio", "collaboration_ratio", "partners_per_collaboration", "international_ratio"]

@@ -9,7 +9,7 @@ from stratabib.functions import text as T
 from stratabib.operators import sentiment as E
 from stratabib.operators import topics as K
 from stratabib.plans import sql as S
-from stratabib.runtime import stage, table
+from stratabib.runtime import spread, stage, table
 
 MERGED = "merge_three_db"
 PERIODS = [("2011-2015", 2011, 2015), ("2016-2020", 2016, 2020), ("2021-2025", 2021, 2025)]
@@ -21,7 +21,7 @@ def _docs(spark, d):
 
 def _tokens(spark, d):
     """Abstracts with period, language and English tokens."""
-    df = table(spark, d, MERGED)
+    df = spread(table(spark, d, MERGED).select("rec_id", "source_db", "year", "journal_en", "abstract_en", "abstract_cn"))
     chosen = K.choose_abstract(F.col("abstract_en"), F.col("abstract_cn"))
     rows = df.select("rec_id", "source_db", T.publish_period(T.year_int("year"), PERIODS).alias("period"), chosen.alias("c"), T.text_or_empty("journal_en").alias("journal"))
     return rows.select("rec_id", "source_db", "period", "journal", "c.text", "c.lang", K.english_tokens(F.col("c.text")).alias("tokens"))
@@ -189,7 +189,7 @@ def lda_selection(spark, d):
 
 def _news(spark, d):
     """News and notes scored by the market lexicon, their title weighing more."""
-    rows = _docs(spark, d).select("doc_id", "source", "topic", E.tokens_of(F.col("text")).alias("body"), E.tokens_of(F.col("title")).alias("head"))
+    rows = spread(_docs(spark, d).select("doc_id", "source", "topic", "title", "text")).select("doc_id", "source", "topic", E.tokens_of(F.col("text")).alias("body"), E.tokens_of(F.col("title")).alias("head"))
     return E.score_documents(rows, F.col("body"), F.col("head"), E.lexicon_map(E.POSITIVE, E.NEGATIVE))
 
 
@@ -252,7 +252,7 @@ def _words(spark, words):
 
 
 def _expansion(spark, d):
-    freq = K.term_frequency(_docs(spark, d).select(E.tokens_of(F.col("text")).alias("tokens")), "tokens").withColumnRenamed("term", "word")
+    freq = K.term_frequency(spread(_docs(spark, d).select("text")).select(E.tokens_of(F.col("text")).alias("tokens")), "tokens").withColumnRenamed("term", "word")
     terms = _words(spark, E.POSITIVE).withColumn("polarity", F.lit("positive")).unionByName(_words(spark, E.NEGATIVE).withColumn("polarity", F.lit("negative")))
     return E.expansion(terms, freq, _words(spark, BASE_POSITIVE), _words(spark, BASE_NEGATIVE), 10)
 

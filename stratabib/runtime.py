@@ -65,6 +65,15 @@ def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that reads far fewer partitions than there are cores, spread over them before heavy work on its rows.
+
+    Tables of one small file would keep one core busy; a large table has partitions enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 _shipped: set[str] = set()
 
 
