@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratabib.runtime import spread
+
 #: A CJK character outside the commonest level counts as ordinary if met so often in texts that are so ordinary otherwise.
 LEAST, COMPANY = 12, 0.55
 #: Share of all texts with other than ASCII characters that such a character is in at least, so that a larger corpus needs more of it.
@@ -90,7 +92,7 @@ def character_counts(df: DataFrame, columns: list[str]) -> dict[str, tuple[int,
 
     Tallied within tasks first. At most the 1.1 million code points.
     """
-    tallied = df.select(*(F.col(c).cast("string") for c in columns)).mapInArrow(_tally, "c int, n bigint, texts bigint, company double")
+    tallied = spread(df.select(*(F.col(c).cast("string") for c in columns))).mapInArrow(_tally, "c int, n bigint, texts bigint, company double")
     rows = tallied.groupBy("c").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.sum("company").alias("company")).collect()
     total = max(1, sum(r["texts"] for r in rows if r["c"] == _TOTAL))
     return {chr(r["c"]): (r["n"], r["company"] / r["texts"] if r["texts"] else 1.0, r["texts"] / total) for r in rows if r["c"] != _TOTAL and not 0xD800 <= r["c"] <= 0xDFFF}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratabib.runtime import BROADCAST_BOUND
+from stratabib.runtime import BROADCAST_BOUND, spread
 
 MIN_WORDS, MIN_CHARS = 12, 24
 #: Longest q-gram by item language; one edit is allowed in so many letters.
@@ -300,6 +300,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     size = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-size["chars"] // min(index_letters, BROADCAST_BOUND // 4)))
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = spread(rows)
     parts = []
     for b in range(blocks):
         block = [tuple(r) for r in named.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]

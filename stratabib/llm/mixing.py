@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratabib.runtime import stage
+from stratabib.runtime import spread, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splitting pattern that belongs to the tokenizer's ranks (a fixed value).
@@ -50,7 +50,7 @@ def _counter(path: str):
 def token_counts(docs: DataFrame, members, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``(_id, _members, _tokens)``: tokens of whole texts; a missing text has none. ``members`` is an array of sources."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), members.cast("array<string>").alias("_members"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(_counter(tokenizer), "_id bigint, _members array<string>, _tokens bigint")
+    return spread(rows).mapInArrow(_counter(tokenizer), "_id bigint, _members array<string>, _tokens bigint")
 
 
 def min_cost_flow(supply: dict, quota: dict[str, int], repeats: dict[str, int]) -> dict[tuple, int]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratabib.llm import charmodel
+from stratabib.runtime import spread
 
 #: A text is garbled if the search lowers its cost by at least this much, by a share of it, over at least two characters.
 LEAST_GAIN, LEAST_SHARE = 5.0, 0.4
@@ -320,5 +321,5 @@ def find_garbled(df: DataFrame, id_col: str = "rec_id", columns: tuple[str, ...]
     names = list(columns)
     model = charmodel.costs(charmodel.character_counts(df, names))
     rows = df.select(F.col(id_col).cast("bigint").alias("_id"), *(F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(names)))
-    out = rows.mapInArrow(_finder(names, model), "_id bigint, field_name string, garbled string, restored string")
+    out = spread(rows).mapInArrow(_finder(names, model), "_id bigint, field_name string, garbled string, restored string")
     return out.withColumnRenamed("_id", id_col)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from stratabib.llm import charmodel
 from stratabib.llm.mojibake import Searcher
 from stratabib.llm.truncation import ending
-from stratabib.runtime import small, stage
+from stratabib.runtime import small, spread, stage
 
 #: Written in place of a value (fixed values), compared in lower case.
 PLACEHOLDERS = {
@@ -159,7 +159,7 @@ def survivors(rows: DataFrame, groups: DataFrame, feed: DataFrame, fields: dict[
     trust = feed.groupBy(F.col("source_db").alias("_s")).agg(F.min("trust_rank").cast("int").alias("_trust"))
     base = rows.select(F.col(id_col).cast("bigint").alias("_id"), F.col("source_db").alias("_s"), F.col("harvested_at").cast("timestamp").alias("_at"), *(F.col(f).cast("string").alias(f"_v{i}") for i, f in enumerate(names)))
     members = groups.select(F.col(id_col).alias("_id"), F.col("group_id").alias("_g"))
-    long = base.join(small(members), "_id").join(small(trust), "_s", "left").select("_g", "_id", F.coalesce("_trust", F.lit(2**31 - 1)).alias("_trust"), "_at", *(f"_v{i}" for i in range(len(names))))
+    long = spread(base).join(small(members), "_id").join(small(trust), "_s", "left").select("_g", "_id", F.coalesce("_trust", F.lit(2**31 - 1)).alias("_trust"), "_at", *(f"_v{i}" for i in range(len(names))))
     graded = stage(long.mapInArrow(_grader(kinds, model), _GRADED_DDL), "graded-rows").df
     begun = small(_beginnings(graded)) if texts else None
     whole, readable = F.lit(0), F.lit(0)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratabib.runtime import small, stage
+from stratabib.runtime import small, spread, stage
 
 MISSING = {"", "nan"}
 #: Longest context of the model in characters.
@@ -445,7 +445,7 @@ def score_ends(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     Missing texts (NULL, '', ``nan``) have no row. Texts are judged whole; copies of a text get the same answer.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"))
-    scores = stage(rows.mapInArrow(_scorer(model), "_id bigint, _source string, _lang string, _score double"), "end-scores").df
+    scores = stage(spread(rows).mapInArrow(_scorer(model), "_id bigint, _source string, _lang string, _score double"), "end-scores").df
     limit = thresholds(scores)
     keys, values = list(limit), list(limit.values())
     bounds = docs.sparkSession.createDataFrame(pa.table({"_l": pa.array([k[0] for k in keys], pa.string()), "_s": pa.array([k[1] for k in keys], pa.string()), "_bound": pa.array(values, pa.float64())}))

@@ -18,7 +18,7 @@ from stratabib.functions.packed import split_packed
 from stratabib.llm import charmodel
 from stratabib.llm.mojibake import Searcher
 from stratabib.llm.orgnames import Profiles, name_and_hints
-from stratabib.runtime import stage
+from stratabib.runtime import spread, stage
 
 #: A new spelling is merged if this many mentions agree on its profile, and this share of those that have it. Merged
 #: spellings lie within a few edits of those of the rules, which bounds their number. A place that isn't listed is known
@@ -93,7 +93,7 @@ def learn_profiles(records: DataFrame, rules: DataFrame, column: str = "institut
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     profiles = Profiles.learn(sorted((tuple(r) for r in rows), key=lambda r: tuple(x or "" for x in r)))
-    counted = stage(texts.mapInArrow(_counter(costs), "kind string, text string, hint string, n bigint").groupBy("kind", "text", "hint").agg(F.sum("n").alias("n")), "org-spellings").df
+    counted = stage(spread(texts).mapInArrow(_counter(costs), "kind string, text string, hint string, n bigint").groupBy("kind", "text", "hint").agg(F.sum("n").alias("n")), "org-spellings").df
     total = counted.filter("kind = 'form'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(MIN_COUNT, SUPPORT * total)
     # places that addresses name: known ones apart, they keep names of places not listed from being taken for typing errors
@@ -147,4 +147,4 @@ def link_organisations(records: DataFrame, rules: DataFrame, id_col: str = "rec_
     """
     profiles, costs = learn_profiles(records, rules, column, rounds)
     rows = records.select(F.col(id_col).cast("bigint").alias("_id"), F.col(column).cast("string").alias("_text")).filter("_text is not null and trim(_text) not in ('', 'nan')")
-    return rows.mapInArrow(_linker(profiles, costs), "_id bigint, standard_name string").withColumnRenamed("_id", id_col)
+    return spread(rows).mapInArrow(_linker(profiles, costs), "_id bigint, standard_name string").withColumnRenamed("_id", id_col)
