@@ -57,6 +57,13 @@ def test_group_rows_edges(spark):
     assert components.group_rows(df.limit(0)).count() == 0
 
 
+def test_components_in_a_task_are_those_of_the_rounds(spark):
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)], "u bigint, v bigint")
+    of = lambda n: sorted(map(tuple, components.connected_components(edges, in_task=n).collect()))
+    assert of(1_000) == of(0) and components.connected_components(edges.limit(0), in_task=5).count() == 0
+
+
 # -- survivors ----------------------------------------------------------------------------------------
 
 
