@@ -127,10 +127,18 @@ def first_author_key(c: Column | str) -> Column:
     return F.when(first.rlike("[a-z]"), F.array_join(parts, "|")).otherwise(key_text(first))
 
 
-def meta_key(title: Column, year: Column, author_key: Column, journal: Column, shortest: int = 8) -> Column:
-    """title|year|author|journal, or '' where one is missing or the title is too short to tell works apart."""
-    t, j = key_text(title), key_text(journal)
-    return F.when((F.length(t) >= shortest) & (year != "") & (author_key != "") & (j != ""), F.concat_ws("|", t, year, author_key, j)).otherwise("")
+#: Shortest title of a metadata key with a journal and without (fixed values).
+TITLE_WITH_JOURNAL, TITLE_ALONE = 8, 20
+
+
+def meta_key(title: Column, year: Column, author_key: Column, journal: Column | None = None) -> Column:
+    """title|year|author, with |journal if one is given; '' where a part is missing or the title is too short to tell works apart."""
+    t = key_text(title)
+    parts = [t, year, author_key] if journal is None else [t, year, author_key, key_text(journal)]
+    whole = F.length(t) >= (TITLE_ALONE if journal is None else TITLE_WITH_JOURNAL)
+    for p in parts[1:]:
+        whole = whole & (p != "")
+    return F.when(whole, F.concat_ws("|", *parts)).otherwise("")
 
 
 def title_for_key(title_en: Column | str, title_cn_en: Column | str, title_cn: Column | str) -> Column:

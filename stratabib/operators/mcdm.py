@@ -96,6 +96,15 @@ def competition_rank(score: str, *ties: Column | str) -> Column:
     return F.rank().over(W.orderBy(F.desc(score)))
 
 
+#: Remarks on an institution's place in a dimension beside its overall rank (fixed values).
+AHEAD, STRONG = "该机构在该维度表现明显优于其综合排名", "该机构在该维度与综合排名上均表现突出"
+
+
+def rank_gap_remark(place: Column, overall: Column) -> Column:
+    """Whether a dimension lifts an institution far above its overall rank, or both are high; '' for neither."""
+    return F.when(overall - place >= 20, AHEAD).when((place <= 5) & (overall <= 20), STRONG).otherwise("")
+
+
 def dominant(columns: dict[str, str]) -> Column:
     """Label of the greatest column; the first one on ties."""
     best = F.greatest(*(F.col(c) for c in columns))

@@ -44,23 +44,27 @@ def components(rows: DataFrame, id_col: str, keys: list[str], max_rounds: int =
         now = after
         if not now.df.filter("changed").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"parents still change after {max_rounds} rounds")
     grouped = now.df.select(F.col("id").alias("_i"), F.col("f").alias("_c"))
     ids = rows.select(F.col(id_col).alias(id_col)).distinct()
     return ids.join(grouped, F.col(id_col) == F.col("_i"), "left").select(id_col, F.coalesce("_c", F.col(id_col)).alias("component"))
 
 
-def replay(rows: list[tuple[int, str, str]]) -> list[tuple[int, int, int]]:
-    """The sequential rule inside one component: rows ``(seq, doi, meta)`` in order to ``(seq, group, mask)``.
+def replay(rows: list[tuple[int, str, str, str]]) -> list[tuple[int, int, int]]:
+    """The sequential rule inside one component: rows ``(seq, doi, source id, meta)`` in order to ``(seq, group, mask)``.
 
-    A row joins the group of its DOI and all groups of its meta key with a compatible DOI; a row without DOI joins
-    by meta key only if exactly one compatible group has it, else it opens a group. The larger group takes in the
-    smaller. ``mask`` has 2 for a match on DOI, 4 on the meta key; a group is named by its first row.
+    A row joins the group of its DOI, that of its source's own id if no other DOI is held there, and all groups of its meta
+    key with a compatible DOI; a row without DOI and id joins by meta key only if exactly one compatible group has it, else it
+    opens a group. The larger group takes in the smaller. ``mask`` has 2 for a match on DOI, 8 on the source's id, 4 on
+    the meta key; a group is named by its first row.
     """
     parent: dict[int, int] = {}
     size: dict[int, int] = {}
     held: dict[int, str] = {}
     mask: dict[int, int] = {}
     by_doi: dict[str, int] = {}
+    by_id: dict[str, int] = {}
     by_meta: dict[str, list[int]] = {}
 
     def root(x: int) -> int:
@@ -70,11 +74,13 @@ def replay(rows: list[tuple[int, str, str]]) -> list[tuple[int, int, int]]:
         return x
 
     joined: list[tuple[int, int]] = []
-    for seq, doi, meta in rows:
+    for seq, doi, own, meta in rows:
         reasons = 0
         found = []
         if doi and doi in by_doi:
             found, reasons = [root(by_doi[doi])], 2
+        if own and own in by_id and (not doi or held[root(by_id[own])] in ("", doi)):
+            found, reasons = found + [root(by_id[own])], reasons | 8
         if meta:
             near = sorted({g for g in map(root, by_meta.get(meta, ())) if not held[g] or not doi or held[g] == doi})
             if near and (doi or len(near) == 1):
@@ -101,6 +107,8 @@ def replay(rows: list[tuple[int, str, str]]) -> list[tuple[int, int, int]]:
         joined.append((seq, into))
         if doi:
             by_doi[doi] = into
+        if own:
+            by_id[own] = into
         if meta:
             by_meta.setdefault(meta, []).append(into)
     first: dict[int, int] = {}
@@ -116,14 +124,18 @@ def replay(rows: list[tuple[int, str, str]]) -> list[tuple[int, int, int]]:
 MAX_COMPONENT = 1_000_000
 
 
-def merge_in_order(rows: DataFrame, id_col: str, doi: str, meta: str, order: list[str]) -> DataFrame:
+def merge_in_order(rows: DataFrame, id_col: str, doi: str, meta: str, order: list[str], own: str | None = None, unstable: DataFrame | None = None) -> DataFrame:
     """``(id_col, group_id, match_mask)`` under the sequential rule.
 
-    No rule reaches beyond a component of shared keys, so the order inside components is all that counts and
-    components run apart. A component over MAX_COMPONENT rows is refused, never cut.
+    ``own`` names a key made of the source and its own identifier. DOIs in the column ``doi`` of ``unstable``, which several
+    works share, are no keys. No rule reaches beyond a component of shared keys, so the order inside components is all that
+    counts and components run apart. A component over MAX_COMPONENT rows is refused, never cut.
     """
-    base = rows.select(F.col(id_col).alias("id"), T.text_or_empty(doi).alias("doi"), T.text_or_empty(meta).alias("meta"), *order)
-    parts = components(base, "id", ["doi", "meta"])
+    base = rows.select(F.col(id_col).alias("id"), T.text_or_empty(doi).alias("doi"), (T.text_or_empty(own) if own else F.lit("")).alias("own"), T.text_or_empty(meta).alias("meta"), *order)
+    if unstable is not None:
+        shared_dois = unstable.select(T.text_or_empty("doi").alias("doi"), F.lit(True).alias("_unstable")).distinct()
+        base = base.join(shared_dois, "doi", "left").withColumn("doi", F.when(F.col("_unstable"), "").otherwise(F.col("doi"))).drop("_unstable")
+    parts = components(base, "id", ["doi", "own", "meta"])
     placed = base.join(parts, "id")
     most = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if most > MAX_COMPONENT:
@@ -134,7 +146,7 @@ def merge_in_order(rows: DataFrame, id_col: str, doi: str, meta: str, order: lis
 
         pdf = pdf.sort_values([*order, "id"], kind="stable")
         seqs = {i: k for i, k in enumerate(pdf["id"])}
-        out = replay([(i, d, m) for i, (d, m) in enumerate(zip(pdf["doi"], pdf["meta"]))])
+        out = replay([(i, *keys) for i, keys in enumerate(zip(pdf["doi"], pdf["own"], pdf["meta"]))])
         return pd.DataFrame({"id": [seqs[s] for s, _, _ in out], "group_id": [seqs[g] for _, g, _ in out], "match_mask": [m for _, _, m in out]})
 
     shared = placed.withColumn("_many", F.lit(1))

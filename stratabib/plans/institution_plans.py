@@ -438,8 +438,18 @@ SQL_TOP10 = f"""{_WEIGHTS}, wd AS (SELECT c.field, p.dimension, c.weight / sum(c
 sub AS (SELECT item, dimension, round(sum(value * weight), 6) AS score FROM scaled JOIN wd USING (field) GROUP BY ALL)
 SELECT item, dimension, score, row_number() OVER (PARTITION BY dimension ORDER BY score DESC, item) AS place FROM sub QUALIFY place <= 10"""
 
+
+def dimension_remarks(spark, d):
+    """The ten best of each dimension with their overall rank and a remark on the gap."""
+    overall = stage(topsis_scores(spark, d).select("item", "topsis_rank"), "overall-ranks").df
+    return dimension_top10(spark, d).join(overall, "item").select("item", "dimension", "place", "topsis_rank", M.rank_gap_remark(F.col("place"), F.col("topsis_rank")).alias("remark"))
+
+
+SQL_REMARKS = f"""WITH top10 AS ({SQL_TOP10}), overall AS ({SQL_TOPSIS})
+SELECT item, dimension, place, topsis_rank, CASE WHEN topsis_rank - place >= 20 THEN '{M.AHEAD}' WHEN place <= 5 AND topsis_rank <= 20 THEN '{M.STRONG}' ELSE '' END AS remark FROM top10 JOIN overall USING (item)"""
+
 _ALL = {
-    "institution_names": (institution_names, ""), "institution_countries": (institution_countries, ""), "name_frequency_by_source": (name_frequency_by_source, SQL_FREQUENCY), "norm_frequency": (norm_frequency, SQL_NORM),
+    "dimension_remarks": (dimension_remarks, SQL_REMARKS), "institution_names": (institution_names, ""), "institution_countries": (institution_countries, ""), "name_frequency_by_source": (name_frequency_by_source, SQL_FREQUENCY), "norm_frequency": (norm_frequency, SQL_NORM),
     "top100_institutions": (top100_institutions, SQL_TOP), "tiered_lookup": (tiered_lookup, SQL_TIERED), "containment_match": (containment_match, SQL_CONTAINMENT), "fuzzy_match": (fuzzy_match, ""), "dominant_aliases": (dominant_aliases, SQL_DOMINANT),
     "type_cascade": (type_cascade, SQL_TYPES), "country_shares": (country_shares, SQL_SHARES), "rule_precedence": (rule_precedence, SQL_PRECEDENCE), "translated_names": (translated_names, SQL_TRANSLATED), "noise_names": (noise_names, SQL_NOISE), "institution_h_index": (institution_h_index, SQL_H), "citation_p90": (citation_p90, SQL_P90), "year_bucket_counts": (year_bucket_counts, SQL_BUCKETS),
     "collaboration_metrics": (collaboration_metrics, SQL_COLLABORATION), "home_countries": (home_countries, SQL_HOME), "impact_indicators": (impact_indicators, SQL_IMPACT), "minmax_matrix": (minmax_matrix, SQL_MINMAX), "unit_matrix": (unit_matrix, SQL_UNIT),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stratabib.functions import text as T
 from stratabib.operators import audit as A
 from stratabib.operators import resolve as R
+from stratabib.operators.corpus import unstable_keys
 from stratabib.plans import sql as S
 from stratabib.runtime import table
 
@@ -38,6 +39,13 @@ def merged_in_order(spark, d):
     return R.merge_in_order(rows, "row_id", "standard_doi_key", "meta_dedup_key", ["rank"])
 
 
+def merged_by_three_keys(spark, d):
+    """The same with each source's own identifiers as a third key, DOIs of several works left out."""
+    rows = _keyed(spark, d).withColumns({"rank": F.when(F.col("source_db") == "CNKI", 0).when(F.col("source_db") == "WOS", 1).otherwise(2), "own": T.source_id_key("source_db", "doi", T.text_or_empty("standard_doi_key")), "_k": T.text_or_empty("standard_doi_key"), "_t": T.key_text("title_en")})
+    unstable = unstable_keys(rows, "source_db", "_k", "_t").select(F.col("_k").alias("doi")).distinct()
+    return R.merge_in_order(rows, "row_id", "standard_doi_key", "meta_dedup_key", ["rank"], own="own", unstable=unstable)
+
+
 def merge_basis_counts(spark, d):
     """Groups by what matched them, and their sizes."""
     groups = merged_in_order(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.max("match_mask").alias("mask"))
@@ -147,7 +155,7 @@ FROM q GROUP BY k"""
 
 _ALL = {
     "entity_components": (entity_components, SQL_COMPONENTS), "merged_in_order": (merged_in_order, ""), "merge_basis_counts": (merge_basis_counts, ""), "fused_records": (fused_records, SQL_FUSED),
-    "residual_groups": (residual_groups, SQL_RESIDUAL), "residual_decisions": (residual_decisions, SQL_DECISIONS), "residual_annotated": (residual_annotated, SQL_ANNOTATED), "conflict_groups": (conflict_groups, SQL_CONFLICT),
+    "merged_by_three_keys": (merged_by_three_keys, ""), "residual_groups": (residual_groups, SQL_RESIDUAL), "residual_decisions": (residual_decisions, SQL_DECISIONS), "residual_annotated": (residual_annotated, SQL_ANNOTATED), "conflict_groups": (conflict_groups, SQL_CONFLICT),
     "audit_applied": (audit_applied, SQL_APPLIED),
 }
 

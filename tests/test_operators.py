@@ -44,10 +44,26 @@ def test_merge_order_and_doi_guard(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
 
 
+def test_three_keys_and_unstable_dois(spark):
+    """A source's own id joins what has no DOI; a DOI that several works share is no key."""
+    rows = [(1, "", "C:7", "m"), (2, "", "C:7", ""), (3, "d1", "", "x"), (4, "d1", "", "y"), (5, "d2", "", "q"), (6, "d2", "", "")]
+    df = spark.createDataFrame(rows, "row_id bigint, doi string, own string, meta string")
+    unstable = spark.createDataFrame([("d1",)], "doi string")
+    got = {r["row_id"]: (r["group_id"], r["match_mask"]) for r in resolve.merge_in_order(df, "row_id", "doi", "meta", [], own="own", unstable=unstable).collect()}
+    assert got == {1: (1, 9), 2: (1, 9), 3: (3, 1), 4: (4, 1), 5: (5, 3), 6: (5, 3)}
+    assert {r["group_id"] for r in resolve.merge_in_order(df, "row_id", "doi", "meta", []).collect()} == {1, 2, 3, 5}
+
+
+def test_metadata_keys(spark):
+    title, short = F.lit("A title of more than twenty letters"), F.lit("Short title")
+    key = lambda t, j=None: spark.range(1).select(T.meta_key(t, F.lit("2020"), F.lit("li|wei"), j)).first()[0]
+    assert key(title).endswith("|2020|li|wei") and key(short) == "" and key(short, F.lit("J One")).endswith("|2020|li|wei|jone") and key(short, F.lit("")) == ""
+
+
 def test_replay_per_component_equals_one_pass():
     rng = random.Random(1)
     for _ in range(300):
-        rows = [(i, rng.choice(["", "a", "b", "c"]), rng.choice(["", "m", "n", "o"])) for i in range(rng.randint(1, 9))]
+        rows = [(i, rng.choice(["", "a", "b", "c"]), rng.choice(["", "", "W:1", "C:2"]), rng.choice(["", "m", "n", "o"])) for i in range(rng.randint(1, 9))]
         whole = {s: g for s, g, _ in resolve.replay(rows)}
         parent = list(range(len(rows)))
 
@@ -56,8 +72,8 @@ def test_replay_per_component_equals_one_pass():
                 x = parent[x]
             return x
 
-        for (i, d, m), (j, e, n) in itertools.combinations(rows, 2):
-            if (d and d == e) or (m and m == n):
+        for (i, d, s, m), (j, e, t, n) in itertools.combinations(rows, 2):
+            if (d and d == e) or (s and s == t) or (m and m == n):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
         apart = {}
         for c in {find(i) for i in range(len(rows))}:
@@ -210,6 +226,15 @@ def test_rewrite_in_place(spark, tmp_path):
     assert [tuple(r) for r in D.read_table(spark, path).collect()] == [("2", "y")] and not (tmp_path / "t.old").exists()
 
 
+def test_head_of_each_file(spark, tmp_path):
+    from stratabib.sources import delimited as D
+
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("k\n" + "".join(f"{name}{i}\n" for i in range(9)))
+    got = sorted(r["k"] for r in D.head_of_each_file(D.read_table(spark, str(tmp_path), encoding="utf-8", columns=["k"]), 2).collect())
+    assert got == ["a0", "a1", "b0", "b1"]
+
+
 def test_row_numbers_over_blocks(spark):
     from stratabib.operators.ranges import in_own_order, row_numbers
 
