@@ -133,14 +133,16 @@ def ending(text: str) -> tuple[str, str, str, str, str]:
 
 LANGUAGES = ("en", "zh")
 #: Kinds of context by number: none, for all positions together; the last 1 to ORDER characters; the opening of a fragment; and, from GAPPED + 1 on, the last
-#: 1 to ORDER characters of a fragment that opens in a certain way.
+#: characters of a fragment that opens in a certain way.
 OPENING, GAPPED = ORDER + 1, 10
+#: Lengths of the contexts that are counted inside last lines, by language: parts of words, and whole ones.
+SIZES = ((5, 8, 12), (2, 4, 8))
 _COUNTS_DDL = "lang int, n int, h bigint, ends bigint, goes_on bigint"
 _COUNTS = pa.schema([("lang", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("ends", pa.int64()), ("goes_on", pa.int64())])
 
 _MIX = 0x9E3779B97F4A7C15
 #: Powers of the base of the rolling hash, one for each character of a context.
-_POWERS = [np.uint64(pow(0x100000001B3, n, 1 << 64)) for n in range(ORDER)]
+_POWERS = [np.uint64(pow(0x100000001B3, n, 1 << 64)) for n in range(max(ORDER, *map(max, SIZES)))]
 _SIEVE = 22
 _STOPS, _WIDE_STOPS, _QUOTES = (np.array([ord(c) for c in cs], dtype=np.uint32) for cs in (".?!", "。？！", "\"”’'」)）]"))
 #: Stands between texts of an array.
@@ -156,14 +158,14 @@ def codes_of(texts: list[str]) -> np.ndarray:
     return codes[~(digit & np.append(False, digit[:-1]))]
 
 
-def hashes(codes: np.ndarray, start: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+def hashes(codes: np.ndarray, sizes: tuple[int, ...] = tuple(range(1, ORDER + 1))) -> Iterator[tuple[int, np.ndarray]]:
     """(n, hash of the last n characters at each position) for each length of context."""
     wide = codes.astype(np.uint64)
     h = np.zeros(len(codes), dtype=np.uint64)
-    for n in range(1, ORDER + 1):
+    for n in range(1, max(sizes) + 1):
         if n <= len(codes):
             h[n - 1 :] += (wide[: len(wide) - n + 1] + np.uint64(1)) * _POWERS[n - 1]
-        if n >= start:
+        if n in sizes:
             yield n, (h * np.uint64(_MIX)).view(np.int64)
 
 
@@ -259,7 +261,7 @@ def _gapped(heads: list[int], lines: list[str], lang: int) -> Iterator[pa.Record
     goes = next_word | (_blank(after) & (after != _BETWEEN) & then_word)
     counted = (codes != _BETWEEN) & (goes | ~_blank(codes))
     depth = np.arange(len(codes)) - begin[np.searchsorted(begin, np.arange(len(codes)), side="right") - 1]
-    for n, h in hashes(codes, 5 if lang == 0 else 2):
+    for n, h in hashes(codes, SIZES[lang]):
         own = counted & (depth >= n)
         mixed = h[own] ^ (of[own] * np.uint64(_MIX)).view(np.int64)
         yield _rows(lang, GAPPED + n, *_summed(mixed, ~goes[own]))
@@ -346,13 +348,14 @@ class Model:
         ends, goes = self._of(k, OPENING, heads)
         by_opening = np.log((ends + 0.2) / (goes + 1.0))
         lines = [_DIGITS.sub("0", x.strip()) for x in lines]
-        codes = codes_of([x[-ORDER:] for x in lines])
+        codes = codes_of([x[-max(SIZES[k]) :] for x in lines])
         at, size = _last_at(codes), np.array([len(x) for x in lines])
         # without a context ever met the line counts as whole; a fragment that is nothing but an opening isn't a line
-        inside = np.where(size > np.array([len(opener(x, LANGUAGES[k])) for x in lines]), np.log(2.0), np.inf)
-        for n, h in hashes(codes, 5 if k == 0 else 2):
+        longer = size > np.array([len(opener(x, LANGUAGES[k])) for x in lines])
+        inside = np.where(longer, np.log(2.0), np.inf)
+        for n, h in hashes(codes, SIZES[k]):
             e, g = self._of(k, GAPPED + n, h[at] ^ (heads.astype(np.uint64) * np.uint64(_MIX)).view(np.int64))
-            inside = np.where((size >= n) & (e + g >= 2), np.log((2.0 * e + 0.4) / (g + 0.2)), inside)
+            inside = np.where(longer & (size >= n) & (e + g >= 2), np.log((2.0 * e + 0.4) / (g + 0.2)), inside)
         return by_opening, inside
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
