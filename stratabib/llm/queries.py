@@ -72,7 +72,7 @@ def p8_near(spark, sf_dir):
 def p8_items(spark, sf_dir):
     """Which items leaked, into how many documents, and how much of them."""
     leaks = _leaks(spark, sf_dir)
-    return leaks.groupBy("item_id").agg(F.count_if("edits = 0").alias("n_docs"), F.count_if("edits = 0 and item_share >= 1.0").alias("n_whole"), F.count_if("edits > 0").alias("n_near"), F.round(F.max("item_share"), 6).alias("largest_share"))
+    return leaks.groupBy("item_id").agg(F.count_if(F.expr("edits = 0")).alias("n_docs"), F.count_if(F.expr("edits = 0 and item_share >= 1.0")).alias("n_whole"), F.count_if(F.expr("edits > 0")).alias("n_near"), F.round(F.max("item_share"), 6).alias("largest_share"))
 
 
 def _mix(spark, sf_dir):
