@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stratabib.llm import charmodel, components, leakage, linkage, mixing, mojibake, softlogic, survivors, truncation, variants
+from stratabib.llm import bounds, charmodel, components, leakage, linkage, mixing, mojibake, softlogic, survivors, truncation, variants
 from stratabib.llm.bibfeatures import Record, edits, evidence, people, title_parts
 from stratabib.llm.orgnames import Profiles, normal_form, one_edit
 
@@ -558,6 +558,64 @@ def test_large_blocks_lose_no_pair(spark, monkeypatch):
     assert {(i, 200 + i) for i in range(100)} <= set(found_in(df))
 
 
+def test_blocks_of_other_works_give_only_open_pairs(spark):
+    """Works that share the end of their titles and a year: the pairs that their own rules exclude don't come out of a block of 60, all others do."""
+    rng = random.Random(4)
+    words = ["carbonate", "polymer", "seismic", "wettability", "fracture", "gravel", "thermal", "microbial", "imbibition", "drainage", "viscous", "lacustrine"]
+    rows = []
+    for i in range(30):
+        title = f"{' '.join(rng.sample(words, 5))} of sandstone and productivity decline signature"
+        typed = title if i % 3 else title.replace("e", "", 2)
+        r = records()[0] | dict(title_en=title, author=f"{chr(97 + i)}ab, {chr(97 + i % 7)}", year="2020", doi=None, registered_doi=None, journal_en=f"J{i % 4}", title_cn=None, author_cn=None)
+        rows += [r | dict(rec_id=i, source_db="WOS"), r | dict(rec_id=100 + i, source_db="CNKI", title_en=typed, author=None if i % 5 == 0 else r["author"])]
+    alone = lambda x, y: linkage._alone(*evidence(*(Record(*(z[c] for c in linkage.COLUMNS)) for z in (x, y)))[:6])
+    got = sorted(map(tuple, linkage.candidate_pairs(keyed_of(frame(spark, rows))).collect()))
+    assert got == sorted((x["rec_id"], y["rec_id"]) for x in rows[::2] for y in rows[1::2] if alone(x, y) >= linkage.HOPELESS)
+    assert {(i, 100 + i) for i in range(30)} <= set(got) and len(got) < 200
+
+
+def test_bounds_exclude_no_open_pair():
+    """Against every pair weighed: titles mistyped, reworded or missing, DOIs, codes, years, people and journals that differ a little."""
+    rng = random.Random(6)
+    title = ["effect of water injection on seepage behaviour of tight sandstone in the Bineth E6-12 area", "controls on wettability of reef limestone reservoirs, Juventh S58-59 sag", "Editorial", "effect of water on water and seepage of wate in Bineth"]
+
+    def typed(text):
+        for _ in range(rng.randint(0, 5)):
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(["", text[i] * 2, rng.choice(string.ascii_lowercase + " ")]) + text[i + 1 :]
+        return text
+
+    def some(*values):
+        return rng.choice([*values, None])
+
+    def one():
+        cn = rng.choice(["枫西河凹陷礁灰岩储层润湿性控制因素", "注水开发对致密砂岩渗流规律的影响", "专辑序言", "枫西河凹陷礁灰岩储层润湿性的控制因素"])
+        doi = some(f"10.99034/art.2014.{rng.choice(['g2fvx', 'g2fv', 'g3fvx', 'q7mkz'])}")
+        return Record(some(typed(rng.choice(title)), title[0] + rng.choice(["", ", Part II", " (1)"])), some(cn), None, some("Li, Ping; Zang, Guozhi", "LI P", "Tao Yan; Zang G.", "Wu Bo"), some("李平", "陶燕；李平"), some("2014", "2015", "2019"), doi, None, some("J", "K"))
+
+    made = [one() for _ in range(400)]
+    x, y = bounds.pairs_within(len(made))
+    value = np.array([linkage._alone(*evidence(made[i], made[j])[:6]) for i, j in zip(x, y)])
+    for least in (linkage.HOPELESS, 0.6):
+        kept = np.zeros(len(x), dtype=bool)
+        kept[bounds.Traits(made).open_pairs(x, y, least)] = True
+        assert kept[value >= least].all() and not kept.all()
+
+
+def test_cells_go_on_over_batches():
+    """A cell cut by a batch's end, one filling several batches, and one in two parts."""
+    import pyarrow as pa
+
+    r = records()[0]
+    packed = Record(*(r[c] for c in linkage.COLUMNS)).pack()
+    rows = [(k, i, j, 100 * k + 10 * i + 50 * j + n, "WOS" if n % 2 else "CNKI", i if n < 3 else j, packed) for k, i, j in [(1, 0, 0), (2, 0, 0), (2, 0, 1), (3, 0, 0)] for n in range(6)]
+    schema = pa.schema([("k", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("id", pa.int64()), ("s", pa.string()), ("own", pa.int64()), ("features", pa.string())])
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+    want = sorted((a[3], b[3]) for a in rows for b in rows if a[:3] == b[:3] and a[3] < b[3] and a[4] != b[4] and (a[1] == a[2] or a[5] != b[5]))
+    for size in (1, 4, 7, 100):
+        assert sorted(p for b in linkage._compared(iter(table.to_batches(max_chunksize=size))) for p in zip(*(c.to_pylist() for c in b.columns))) == want
+
+
 def test_evidence_of_other_works():
     a = Record(TITLE, None, None, "Chu, Yi", None, "2023", None, None, "J")
     alone = lambda r, q: linkage._alone(*evidence(r, q)[:6])
